@@ -35,8 +35,60 @@ def _typed(i: int, field: T.StructField) -> str:
 
 _TYPED = ", ".join(_typed(i, f) for i, f in enumerate(LABELLED_TRANSACTION, 1))
 
+_KNOWN = """
+WITH known AS (
+  SELECT e.*, v.market_cap AS known_market_cap, v.shares_outstanding AS known_shares_outstanding, v.market_cap_quality AS known_market_cap_quality
+  FROM enriched_awards e LEFT JOIN LATERAL (
+    SELECT market_cap, shares_outstanding, market_cap_quality FROM cache_market_cap c
+    WHERE c.ticker = e.ticker AND c.status = 'success' AND c.date <= e.action_date AND CAST(c.fetched_at AS DATE) <= e.action_date
+    ORDER BY c.date DESC, c.fetched_at DESC, market_cap DESC NULLS LAST, shares_outstanding DESC NULLS LAST, market_cap_quality DESC NULLS LAST LIMIT 1) v ON TRUE
+  WHERE e.ticker IS NOT NULL)
+"""
+_READINGS = """
+WITH readings AS (
+  SELECT contract_transaction_unique_key, awarding_sub_agency_name AS source, action_date AS day, award_id_piid AS unit, field, value
+  FROM (UNPIVOT signals_awards ON potential_total_value_of_award, ceiling_change, relative_ceiling_change INTO NAME field VALUE value)),
+measured AS (SELECT * FROM readings WHERE source IS NOT NULL AND isfinite(value) AND value <> 0),
+medians AS (SELECT source, field, count(*) AS n, median(abs(value)) AS median FROM measured GROUP BY ALL)
+"""
+
 SQL = {
     "p1_found": _FIELDS + "SELECT record_id, reason FROM judged WHERE reason IS NOT NULL",
     "p1_typed_rows": _FIELDS + f"SELECT record_id, source_file, line_no, received_at, {_TYPED} FROM judged WHERE reason IS NULL",
     "p1_reasons_by_file": _FIELDS + "SELECT source_file, reason, count(*) AS n, min(record_id) AS first_record_id FROM judged WHERE reason IS NOT NULL GROUP BY ALL",
+    "p3_found": _KNOWN + """SELECT DISTINCT contract_transaction_unique_key FROM known WHERE market_cap IS DISTINCT FROM known_market_cap
+  OR shares_outstanding IS DISTINCT FROM known_shares_outstanding OR market_cap_quality IS DISTINCT FROM known_market_cap_quality""",
+    "p3_known_attributes": _KNOWN + "SELECT contract_transaction_unique_key, ticker, action_date, known_market_cap, known_shares_outstanding, known_market_cap_quality FROM known",
+    "p4_found": """
+SELECT 'award_id_piid' AS field, award_id_piid AS key_value FROM raw_filtered_awards WHERE award_id_piid IS NOT NULL GROUP BY 2
+HAVING count(*) >= 0.05 * (SELECT count(*) FROM raw_filtered_awards)
+UNION ALL SELECT 'ticker', ticker FROM enriched_awards WHERE ticker IS NOT NULL GROUP BY 2
+HAVING count(*) >= 0.05 * (SELECT count(*) FROM enriched_awards WHERE ticker IS NOT NULL)""",
+    "p4_award_results": """
+SELECT award_id_piid, count(*) AS n, round(sum(federal_action_obligation), 2) AS obligated, min(action_date) AS first_action,
+  last(potential_total_value_of_award ORDER BY action_date NULLS FIRST, contract_transaction_unique_key NULLS FIRST, ingested_at NULLS FIRST, potential_total_value_of_award NULLS FIRST) AS last_potential
+FROM raw_filtered_awards GROUP BY ALL""",
+    "p4_ticker_results": """
+SELECT ticker, count(*) AS n, max(market_cap) AS max_cap,
+  last(market_cap ORDER BY action_date NULLS FIRST, contract_transaction_unique_key NULLS FIRST, market_cap NULLS FIRST) AS last_cap
+FROM enriched_awards WHERE ticker IS NOT NULL GROUP BY ALL""",
+    "p4_row_shares": """
+SELECT contract_transaction_unique_key, ingested_at, award_id_piid,
+  round(total_dollars_obligated / nullif(max(total_dollars_obligated) OVER (PARTITION BY award_id_piid), 0), 6) AS share_of_highest
+FROM raw_filtered_awards""",
+    "p5_found": _READINGS + """
+, frozen AS (
+  SELECT DISTINCT c.source, c.field, c.value, c.day FROM (SELECT DISTINCT source, field, value, day FROM measured) c
+  JOIN (SELECT s.source, s.field, s.value, s.day FROM (SELECT DISTINCT source, field, value, day FROM measured) s
+    JOIN measured e ON s.source = e.source AND s.field = e.field AND s.value = e.value AND e.day >= s.day AND e.day <= s.day + 30
+    GROUP BY ALL HAVING count(DISTINCT e.unit) >= 6) w
+  ON c.source = w.source AND c.field = w.field AND c.value = w.value AND c.day >= w.day AND c.day <= w.day + 30)
+SELECT contract_transaction_unique_key, field FROM readings LEFT JOIN medians USING (source, field)
+WHERE value IS NOT NULL AND (isnan(value) OR isinf(value) OR (field = 'potential_total_value_of_award' AND value < 0)
+  OR (field = 'relative_ceiling_change' AND value < -1)
+  OR (field = 'ceiling_change' AND EXISTS (SELECT 1 FROM raw_filtered_awards r
+    WHERE r.contract_transaction_unique_key = readings.contract_transaction_unique_key AND -value > r.prev_potential_value))
+  OR abs(value) > 100 * median OR (field = 'potential_total_value_of_award' AND value <> 0 AND abs(value) < median / 100)
+  OR EXISTS (SELECT 1 FROM frozen f WHERE f.source = readings.source AND f.field = readings.field AND f.value = readings.value AND f.day = readings.day))""",
+    "p5_source_medians": _READINGS + "SELECT source, field, n, median FROM medians",
 }
