@@ -10,7 +10,7 @@ _FIELDS = r"""
 WITH body AS (SELECT *, regexp_replace(raw_record, '(\r\n|\n|\r)\z', '') AS b FROM mock_transaction_types),
 read AS (
   SELECT *, regexp_full_match(b, '(?s)([^",\r\n]*|"([^"]|"")*")(,([^",\r\n]*|"([^"]|"")*"))*') AS quoted_well,
-    list_transform(regexp_extract_all(b, '(?s)(?:^|,)("(?:[^"]|"")*"|[^",]*)', 1), lambda x:
+    list_transform(regexp_extract_all(',' || b, '(?s),("(?:[^"]|"")*"|[^",]*)', 1), lambda x:
       CASE WHEN starts_with(x, '"') THEN replace(substr(x, 2, length(x) - 2), '""', '"') ELSE x END) AS f
   FROM body),
 judged AS (
