@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, nearest_time, splitting
+from tidemark.llm import leakage, mixing, nearest_time, splitting
 from tidemark.llm.sql import SQL as SQL
 from tidemark.llm.tokens import count_tokens
 from tidemark.materialize import stored
@@ -21,6 +21,21 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select(KEY, "ticker", F.date_format("bar_date", "yyyy-MM-dd").alias("bar_date"))
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "eval_items").select("item_id", "text").collect()  # the evaluation side, bounded in the operator
+    items = leakage.read_items([(r[0], r[1]) for r in rows], 15)
+    index = stored(leakage.build_index(table(spark, d, "documents"), "doc_id", "text", items.vocabulary), "positional-index")
+    return leakage.search(index, items, leakage.term_counts(index), 15, 6)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", F.col("item").alias("item_id"))
+
+
+def p7_matches(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d)
+
+
 def _draws(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "source", count_tokens(F.col("text")).alias("n_tokens"))
     targets = table(spark, d, "mix_targets").collect()  # the mixes: a few rows
@@ -43,4 +58,4 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split(table(spark, d, "documents").select("doc_id", "text"), "text")
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p8_draws, p8_shares, p9_found, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p6_found, p7_found, p7_matches, p8_draws, p8_shares, p9_found, p9_pieces)}
