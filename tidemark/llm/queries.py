@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import leakage, mixing, nearest_time, splitting
+from tidemark.llm import leakage, mixing, name_variants, nearest_time, splitting
 from tidemark.llm.sql import SQL as SQL
 from tidemark.llm.tokens import count_tokens
 from tidemark.materialize import stored
@@ -14,6 +14,22 @@ from tidemark.session import table
 KEY = "contract_transaction_unique_key"
 
 
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    raw, enriched = table(spark, d, "raw_filtered_awards"), table(spark, d, "enriched_awards")
+    fields = [raw.select(F.col("recipient_parent_name_raw").alias("name")), raw.select(F.col("recipient_parent_name").alias("name")), enriched.select(F.col("highest_level_owner_name").alias("name"))]
+    return fields[0].distinct().unionByName(fields[1].distinct()).unionByName(fields[2].distinct())
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return name_variants.pairs(name_variants.link_names(_names(spark, d), "name"))
+
+
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    linked = name_variants.link_names(_names(spark, d), "name")
+    size = linked.groupBy("class_id").agg((F.count("*") - 1).alias("links"), F.min("name").alias("representative"))
+    return linked.join(size, "class_id").select("name", "representative", "links")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     awards = table(spark, d, "enriched_awards").select(KEY, "ticker", "action_date")
     bars = table(spark, d, "cache_returns").select("ticker", F.col("date").alias("bar_date"))
@@ -58,4 +74,4 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split(table(spark, d, "documents").select("doc_id", "text"), "text")
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p7_found, p7_matches, p8_draws, p8_shares, p9_found, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_classes, p6_found, p7_found, p7_matches, p8_draws, p8_shares, p9_found, p9_pieces)}
