@@ -96,7 +96,9 @@ def _ordinary(path: str):
 
 def link_names(names: DataFrame, name: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """(name, class_id) of every distinct name that means somebody."""
-    read = stored(names.select(F.col(name).alias("name")).where(F.col(name).isNotNull()).distinct().withColumn("words", _tokens()(F.col("name"))).where(F.size("words") > 0), "names")
+    # stored before they are parted: the filter on words would else run below the distinct, on every row
+    distinct = stored(names.select(F.col(name).alias("name")).where(F.col(name).isNotNull()).distinct(), "distinct-names")
+    read = stored(distinct.withColumn("words", _tokens()(F.col("name"))).where(F.size("words") > 0), "names")
     count = read.count()
     least = max(LEAST, SHARE * count)
     seen = read.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where((F.col("n") >= 3) & (F.length("w") > 3))
