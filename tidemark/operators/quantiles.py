@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BRACKET, ACCURACY = 0.002, 10_000
+#: Groups of fewer values keep them all: one rank is more than a bracket there.
+SMALL = 2_000
 
 
 def quantiles(df: DataFrame, by: Sequence[str], value: str | Column, probs: Sequence[float], out: str = "q") -> DataFrame:
@@ -28,15 +30,15 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str | Column, probs: Sequ
     if not by:
         rows = rows.withColumn("_all", F.lit(0))
     group = lambda d, *k: d.groupBy(*one, *k)
-    sketch = group(rows).agg(F.percentile_approx("_v", edges, ACCURACY).alias("_b"))
-    inside = F.lit(False)
+    sketch = group(rows).agg(F.percentile_approx("_v", edges, ACCURACY).alias("_b"), F.count(F.lit(1)).alias("_m"))
+    inside = F.col("_m") < SMALL
     for i in range(len(probs)):
         inside = inside | F.col("_v").between(F.col("_b")[2 * i], F.col("_b")[2 * i + 1])
     below = sum((F.when(F.col("_b")[i] <= F.col("_v"), 1).otherwise(0) for i in range(len(edges))), F.lit(0))
     same = F.lit(True)
     for c in one:
         same = same & F.col(c).eqNullSafe(F.col("_k_" + c))
-    keyed = sketch.select(*[F.col(c).alias("_k_" + c) for c in one], "_b")
+    keyed = sketch.select(*[F.col(c).alias("_k_" + c) for c in one], "_b", "_m")
     counts = group(rows.join(keyed, same).select(*one, below.alias("_i"), F.when(inside, F.col("_v")).alias("_x")), "_i", "_x").agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*one)
     run = counts.withColumn("_cum", F.sum("_c").over(w.orderBy("_i", F.col("_x").asc_nulls_last()))).withColumn("n", F.sum("_c").over(w))

@@ -8,8 +8,10 @@ and a value that many rows share is one row of the count.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -89,10 +91,6 @@ def p_value(ic: Column, n: Column) -> Column:
     The regularised incomplete beta function of half the degrees of freedom, by its
     continued fraction.
     """
-    import math
-
-    import pandas as pd
-
     def beta(a: float, b: float, x: float) -> float:
         if x <= 0 or x >= 1:
             return 0.0 if x <= 0 else 1.0
