@@ -13,6 +13,8 @@ from tidemark.plans import event_sql as q
 from tidemark.plans import event_tables as t
 from tidemark.plans import phases
 from tidemark.session import table
+from tidemark.sources.html_pages import parse_details
+from tidemark.sources.providers import resolve_tickers
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -380,3 +382,30 @@ def service_code_lookup(spark: SparkSession, d: str) -> DataFrame:
 def value_count_shares(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "raw_filtered_awards").groupBy("transaction_type", "award_type").agg(F.count("*").alias("n"))
     return c.withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 2))  # a row per kind
+
+
+_PAGE = """<table><tr><td class="detail-left-col">Legal Business Name</td><td class="detail-right-col">%s</td></tr></table>
+<div id="detail_topsection"><label>CAGE</label><span>%s</span><label>CAGE Update Date</label><span>%s</span></div>
+<div id="ownership"><div class="subsection_header">Highest Level Owner</div><div class="data">%s</div></div>"""
+
+
+@query("SELECT contract_transaction_unique_key, cage_code, strftime(cage_update_date, '%Y-%m-%d') AS cage_update_date, is_highest, highest_level_owner_name AS owner, highest_level_cage_code AS owner_code FROM (SELECT contract_transaction_unique_key, cage_code, cage_update_date, FALSE AS is_highest, highest_level_owner_name, highest_level_cage_code FROM enriched_awards WHERE highest_level_owner_name = trim(highest_level_owner_name) AND NOT contains(highest_level_owner_name, '  ') AND cage_code IS NOT NULL AND cage_update_date IS NOT NULL AND highest_level_cage_code IS NOT NULL)")
+def html_detail_parse(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "enriched_awards")
+    name = F.col("highest_level_owner_name")
+    e = e.where((name == F.trim(name)) & ~name.contains("  ") & F.col("cage_code").isNotNull() & F.col("cage_update_date").isNotNull() & F.col("highest_level_cage_code").isNotNull())
+    escaped = F.replace(F.replace(name, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    owner = F.format_string("<label>Company Name</label><span>%s</span><label>CAGE</label><span>%s</span>", escaped, "highest_level_cage_code")
+    page = F.format_string(_PAGE, F.coalesce("cage_business_name", F.lit("")), "cage_code", F.date_format("cage_update_date", "MM/dd/yyyy"), owner)
+    p = e.select(KEY, parse_details(page).alias("p"))
+    return p.select(KEY, "p.cage_code", "p.cage_update_date", "p.is_highest", F.col("p.highest_level_owner_name").alias("owner"), F.col("p.highest_level_cage_code").alias("owner_code"))
+
+
+_BY_NAME = _FORMS.replace("recipient_parent_name_raw", "highest_level_owner_name")
+
+
+@query(f"WITH c AS (SELECT {_BY_NAME} AS k, min(ticker) AS ticker FROM enriched_awards WHERE ticker IS NOT NULL AND highest_level_owner_name IS NOT NULL GROUP BY 1), o AS (SELECT DISTINCT recipient_parent_name_raw AS owner, {_FORMS} AS k FROM raw_filtered_awards) SELECT owner, ticker FROM o LEFT JOIN c USING (k)")
+def ticker_by_normalised_name(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "enriched_awards").select(F.col("highest_level_owner_name").alias("name"), "ticker", F.lit("US").alias("exchange")).where(F.col("name").isNotNull())
+    owners = table(spark, d, "raw_filtered_awards").select(F.col("recipient_parent_name_raw").alias("owner"))
+    return resolve_tickers(owners, e).select("owner", "ticker")
