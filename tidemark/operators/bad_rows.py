@@ -42,24 +42,20 @@ def _pieces(raw: Column) -> Column:
 
 
 def quoting_ok(raw: Column) -> Column:
-    """Whether ``raw`` is one record under RFC 4180; null stays null."""
+    """Whether ``raw`` is one record under RFC 4180; null stays null.
+
+    Nothing in the functions over pieces refers to the text, which would be cut again for each piece.
+    """
     pieces = _pieces(raw)
-    last = F.size(pieces) - 1
-
-    def outside_ok(piece: Column, i: Column) -> Column:
-        no_break = ~piece.contains("\n") & ~piece.contains("\r")
-        starts = (i == 0) | piece.startswith(",")
-        ends = (i == last) | piece.endswith(",")
-        doubled = (piece == "") & (i > 0) & (i < last)
-        edge = (piece == "") & ((i == 0) | (i == last))
-        return no_break & (doubled | edge | (starts & ends))
-
-    balanced = (last % 2) == 0
-    fine = F.forall(
-        F.transform(pieces, lambda p, i: F.when(i % 2 == 1, F.lit(True)).otherwise(outside_ok(p, i))), lambda x: x
-    )
-    plain = ~raw.contains('"')
-    return F.when(plain, ~raw.contains("\n") & ~raw.contains("\r")).otherwise(balanced & fine)
+    n = F.size(pieces)
+    first, last = F.element_at(pieces, 1), F.element_at(pieces, -1)
+    unbroken = lambda p: ~p.contains("\n") & ~p.contains("\r")
+    # between two quoted stretches: a doubled quote, or a comma at either end
+    between = lambda p: unbroken(p) & ((p == "") | (p.startswith(",") & p.endswith(",")))
+    inner = F.slice(pieces, F.lit(2), F.greatest(n - 2, F.lit(0)))
+    fine = F.forall(F.transform(inner, lambda p, i: (i % 2 == 0) | between(p)), lambda ok: ok)
+    ends = unbroken(first) & unbroken(last) & ((first == "") | first.endswith(",")) & ((last == "") | last.startswith(","))
+    return F.when(~raw.contains('"'), unbroken(raw)).otherwise((n % 2 == 1) & ends & fine)
 
 
 def field_count(raw: Column) -> Column:
@@ -98,11 +94,11 @@ def parse_records(
 
     ``schema`` gives the fields in their order; ``checks`` gives for some of them a
     function of the field's text that says whether it is usable. Other fields that don't
-    fit their type come out null. Columns of ``df`` called like the two outputs are an error.
+    fit their type come out null. Columns of ``df`` called like the two outputs are replaced.
     """
-    for c in (reason, typed):
-        if c in df.columns:
-            raise ValueError(f"the input already has a column {c}")
+    if raw.lower() in (reason.lower(), typed.lower()):
+        raise ValueError("the raw column can't be called like an output")
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in (reason.lower(), typed.lower())])
     n = len(schema)
     corrupt = "_corrupt_record"
     names = [f"f{i}" for i in range(n)]
@@ -112,18 +108,18 @@ def parse_records(
         "maxColumns": str(MAX_FIELDS + 1), "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
     }
     body = _without_terminator(F.col(raw))
-    df = df.withColumn("_body", body).withColumn("_n", field_count(F.col("_body")))
+    df = df.withColumn("__tm_body", body).withColumn("__tm_n", field_count(F.col("__tm_body")))
     # a lone empty record is no line for the parser, and huge ones exceed its buffers; both are column_count anyway
-    readable = (F.col("_n") <= MAX_FIELDS) & (F.col("_body") != "")
-    df = df.withColumn("_text", F.from_csv(F.when(readable, F.col("_body")), text_schema, options))
-    field = {f.name: F.col(f"_text.{x}") for f, x in zip(schema, names, strict=True)}
+    readable = (F.col("__tm_n") <= MAX_FIELDS) & (F.col("__tm_body") != "")
+    df = df.withColumn("__tm_text", F.from_csv(F.when(readable, F.col("__tm_body")), text_schema, options))
+    field = {f.name: F.col(f"__tm_text.{x}") for f, x in zip(schema, names, strict=True)}
     bad_value = F.lit(False)
     for name, usable in checks.items():
         bad_value = bad_value | ~usable(field[name])
     why = (
-        F.when(F.col(raw).isNull() | (F.col("_body") == ""), F.lit(COLUMN_COUNT))
-        .when(~quoting_ok(F.col("_body")), F.lit(QUOTING))
-        .when((F.col("_n") != n) | F.col(f"_text.{corrupt}").isNotNull(), F.lit(COLUMN_COUNT))
+        F.when(F.col(raw).isNull() | (F.col("__tm_body") == ""), F.lit(COLUMN_COUNT))
+        .when(~quoting_ok(F.col("__tm_body")), F.lit(QUOTING))
+        .when((F.col("__tm_n") != n) | F.col(f"__tm_text.{corrupt}").isNotNull(), F.lit(COLUMN_COUNT))
         .when(bad_value, F.lit(INVALID_VALUE))
     )
 
@@ -138,16 +134,18 @@ def parse_records(
         return F.trim(c).try_cast(f.dataType)
 
     row = F.struct(*[cast(f).alias(f.name) for f in schema])
-    return df.withColumn(reason, why).withColumn(typed, F.when(F.col(reason).isNull(), row)).drop("_body", "_n", "_text")
+    return df.withColumn(reason, why).withColumn(typed, F.when(F.col(reason).isNull(), row)).drop("__tm_body", "__tm_n", "__tm_text")
 
 
 def split_records(df: DataFrame, raw: str, schema: T.StructType, checks: Mapping[str, Callable[[Column], Column]]) -> tuple[DataFrame, DataFrame]:
     """(typed rows with the other columns of ``df``, rejected rows with ``reason``).
 
-    Typed fields that share a name with a column of ``df`` replace it.
+    Typed fields that share a name with a column of ``df`` replace it, as does ``reason``.
     """
-    parsed = parse_records(df, raw, schema, checks)
-    keep = [c for c in df.columns if c != raw and c not in schema.names]
-    good = parsed.where(F.col("reason").isNull()).select(*keep, "row.*")
-    bad = parsed.where(F.col("reason").isNotNull()).select(*df.columns, "reason")
+    reason, row = "reason", "__tm_row"
+    parsed = parse_records(df, raw, schema, checks, reason, row)
+    fields = {x.lower() for x in schema.names} | {reason}
+    keep = [f"`{c}`" for c in df.columns if c != raw and c.lower() not in fields]
+    good = parsed.where(F.col(reason).isNull()).select(*keep, f"{row}.*")
+    bad = parsed.where(F.col(reason).isNotNull()).select(*[f"`{c}`" for c in df.columns if c.lower() != reason], reason)
     return good, bad

@@ -37,8 +37,8 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str | Column, probs: Sequ
     below = sum((F.when(F.col("_b")[i] <= F.col("_v"), 1).otherwise(0) for i in range(len(edges))), F.lit(0))
     same = F.lit(True)
     for c in one:
-        same = same & F.col(c).eqNullSafe(F.col("_k_" + c))
-    keyed = sketch.select(*[F.col(c).alias("_k_" + c) for c in one], "_b", "_m")
+        same = same & F.col(c).eqNullSafe(F.col("__tm_k_" + c))
+    keyed = sketch.select(*[F.col(c).alias("__tm_k_" + c) for c in one], "_b", "_m")
     counts = group(rows.join(keyed, same).select(*one, below.alias("_i"), F.when(inside, F.col("_v")).alias("_x")), "_i", "_x").agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*one)
     run = counts.withColumn("_cum", F.sum("_c").over(w.orderBy("_i", F.col("_x").asc_nulls_last()))).withColumn("n", F.sum("_c").over(w))
@@ -54,11 +54,11 @@ def _attach(df: DataFrame, side: DataFrame, by: Sequence[str]) -> DataFrame:
     """Left join on null-safe equality of ``by``; the right keys are dropped."""
     if not by:
         return df.join(F.broadcast(side), F.lit(True), "left")  # one row
-    renamed = side.select(*[F.col(c).alias("_k_" + c) for c in by], *[c for c in side.columns if c not in by])
+    renamed = side.select(*[F.col(c).alias("__tm_k_" + c) for c in by], *[c for c in side.columns if c not in by])
     cond = F.lit(True)
     for c in by:
-        cond = cond & F.col(c).eqNullSafe(F.col("_k_" + c))
-    return df.join(renamed, cond, "left").drop(*["_k_" + c for c in by])
+        cond = cond & F.col(c).eqNullSafe(F.col("__tm_k_" + c))
+    return df.join(renamed, cond, "left").drop(*["__tm_k_" + c for c in by])
 
 
 def bucket(df: DataFrame, by: Sequence[str], value: str, n_buckets: int = 10, out: str = "bucket") -> DataFrame:
@@ -66,21 +66,23 @@ def bucket(df: DataFrame, by: Sequence[str], value: str, n_buckets: int = 10, ou
 
     Null where the value is null, the group has fewer values than buckets, or all are equal.
     """
-    edges = quantiles(df, by, value, [i / n_buckets for i in range(n_buckets + 1)], "_e").withColumn("_e", F.array_distinct("_e"))
-    joined = _attach(df, edges.withColumnRenamed("n", "_n"), by)
+    edges = quantiles(df, by, value, [i / n_buckets for i in range(n_buckets + 1)], "__tm_e").withColumn("__tm_e", F.array_distinct("__tm_e"))
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() != out.lower()])
+    joined = _attach(df, edges.withColumnRenamed("n", "__tm_n"), by)
     v = F.col(value).cast("double")
-    inner = F.greatest(F.lit(1), F.size(F.filter("_e", lambda e: e < v)))
-    ok = v.isNotNull() & ~F.isnan(v) & (F.col("_n") >= n_buckets) & (F.size("_e") >= 2)
-    return joined.withColumn(out, F.when(ok, inner)).drop("_e", "_n")
+    inner = F.greatest(F.lit(1), F.size(F.filter("__tm_e", lambda e: e < v)))
+    ok = v.isNotNull() & ~F.isnan(v) & (F.col("__tm_n") >= n_buckets) & (F.size("__tm_e") >= 2)
+    return joined.withColumn(out, F.when(ok, inner)).drop("__tm_e", "__tm_n")
 
 
 def winsorize(df: DataFrame, by: Sequence[str], value: str, lower: float = 0.01, upper: float = 0.99, out: str = "clipped", least: int = 5) -> DataFrame:
     """``df`` with values clipped to the quantiles of their group; unchanged in null or small groups."""
-    bounds = quantiles(df, by, value, [lower, upper], "_b").withColumnRenamed("n", "_n")
+    bounds = quantiles(df, by, value, [lower, upper], "__tm_b").withColumnRenamed("n", "__tm_n")
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() != out.lower() or c == value])
     joined = _attach(df, bounds, by)
     v = F.col(value).cast("double")
     known = F.lit(True)
     for c in by:
         known = known & F.col(c).isNotNull()
-    clip = F.when(v.isNotNull(), F.least(F.greatest(v, F.col("_b")[0]), F.col("_b")[1]))
-    return joined.withColumn(out, F.when(known & (F.col("_n") >= least), clip).otherwise(v)).drop("_b", "_n")
+    clip = F.when(v.isNotNull(), F.least(F.greatest(v, F.col("__tm_b")[0]), F.col("__tm_b")[1]))
+    return joined.withColumn(out, F.when(known & (F.col("__tm_n") >= least), clip).otherwise(v)).drop("__tm_b", "__tm_n")

@@ -48,18 +48,18 @@ def with_rank(df: DataFrame, by: Sequence[str], value: str, out: str, count: str
     """``df`` with the average rank of ``value`` in its group; null for null."""
     r = value_ranks(df, by, value)
     keys = [*by, value]
-    side = r.select(*[F.col(c).alias("_r_" + c) for c in keys], F.col("rank").alias(out), *([F.col("n").alias(count)] if count else []))
-    cond = F.col(value) == F.col("_r_" + value)
+    side = r.select(*[F.col(c).alias("__tm_r_" + c) for c in keys], F.col("rank").alias(out), *([F.col("n").alias(count)] if count else []))
+    cond = F.col(value) == F.col("__tm_r_" + value)
     for c in by:
-        cond = cond & F.col(c).eqNullSafe(F.col("_r_" + c))
-    return df.join(side, cond, "left").drop(*["_r_" + c for c in keys])
+        cond = cond & F.col(c).eqNullSafe(F.col("__tm_r_" + c))
+    return df.join(side, cond, "left").drop(*["__tm_r_" + c for c in keys])
 
 
 def percentile_rank(df: DataFrame, value: str, out: str, by: Sequence[str] = (), flip: bool = False) -> DataFrame:
     """Average rank over one more than the number of values, in (0, 1); 1 less that if flipped."""
-    ranked = with_rank(df, by, value, "_rank", "_count")
-    p = F.col("_rank") / (F.col("_count") + 1)
-    return ranked.withColumn(out, 1 - p if flip else p).drop("_rank", "_count")
+    ranked = with_rank(df, by, value, "__tm_rank", "__tm_count")
+    p = F.col("__tm_rank") / (F.col("__tm_count") + 1)
+    return ranked.withColumn(out, 1 - p if flip else p).drop("__tm_rank", "__tm_count")
 
 
 def composite(parts: Sequence[tuple[Column, float]], partial: bool = False) -> Column:

@@ -23,11 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-FROM, TO = "_valid_from", "_valid_to"
+FROM, TO = "__tm_from", "__tm_to"
 
 
 def validity_intervals(versions: DataFrame, entity: str, effective: Column, precedence: Sequence[str], payload: Sequence[str]) -> DataFrame:
-    """(entity, _valid_from, _valid_to, payload): dates, half-open, null end while in force."""
+    """(entity, FROM, TO, payload): dates, half-open, null end while in force."""
     best = (
         versions.select(F.col(entity), effective.cast("date").alias(FROM), F.struct(*precedence).alias("_p"), F.struct(*payload).alias("_v"))
         .where(F.col(entity).isNotNull() & F.col(FROM).isNotNull())
@@ -44,11 +44,13 @@ def as_known(events: DataFrame, intervals: DataFrame, entity: str, time: str, pa
     """All rows of ``events`` with the payload in force on their day, each column prefixed.
 
     Buckets of intervals are built only over the span of the events' days, whose two
-    ends are the only values fetched to the driver.
+    ends are the only values fetched to the driver. Other event columns that are called
+    like a prefixed payload column are replaced.
     """
-    clash = [prefix + c for c in payload if prefix + c in events.columns]
-    if clash:
-        raise ValueError(f"the events already have columns {clash}")
+    added = {(prefix + c).lower() for c in payload}
+    if added & {entity.lower(), time.lower()}:
+        raise ValueError("a payload column can't be called like the entity or the time")
+    events = events.select(*[F.col(f"`{c}`") for c in events.columns if c.lower() not in added])
     day = F.col(time).cast("date")
     first, last = events.agg(F.min(day), F.max(day)).first()
     bucket = lambda d: F.floor(F.unix_date(d) / F.lit(bucket_days)).cast("int")
@@ -58,11 +60,11 @@ def as_known(events: DataFrame, intervals: DataFrame, entity: str, time: str, pa
     reach = (
         intervals.where((F.col(FROM) <= hi) & (F.col(TO).isNull() | (F.col(TO) > lo)))
         .select(
-            F.col(entity).alias("_entity"), FROM, TO, *[F.col(c).alias(prefix + c) for c in payload],
-            F.explode(F.sequence(bucket(F.greatest(FROM, lo)), bucket(F.least(F.coalesce(F.date_sub(TO, 1), hi), hi)))).alias("_bucket"),
+            F.col(entity).alias("__tm_entity"), FROM, TO, *[F.col(c).alias(prefix + c) for c in payload],
+            F.explode(F.sequence(bucket(F.greatest(FROM, lo)), bucket(F.least(F.coalesce(F.date_sub(TO, 1), hi), hi)))).alias("__tm_bucket"),
         )
     )
-    left = events.withColumn("_day", day).withColumn("_at", bucket(F.col("_day")))
-    within = (F.col("_day") >= F.col(FROM)) & (F.col(TO).isNull() | (F.col("_day") < F.col(TO)))
-    joined = left.join(reach, (F.col(entity) == F.col("_entity")) & (F.col("_at") == F.col("_bucket")) & within, "left")
-    return joined.drop("_day", "_at", "_entity", "_bucket", FROM, TO)
+    left = events.withColumn("__tm_day", day).withColumn("__tm_at", bucket(F.col("__tm_day")))
+    within = (F.col("__tm_day") >= F.col(FROM)) & (F.col(TO).isNull() | (F.col("__tm_day") < F.col(TO)))
+    joined = left.join(reach, (F.col(entity) == F.col("__tm_entity")) & (F.col("__tm_at") == F.col("__tm_bucket")) & within, "left")
+    return joined.drop("__tm_day", "__tm_at", "__tm_entity", "__tm_bucket", FROM, TO)
