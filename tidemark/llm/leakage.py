@@ -126,23 +126,23 @@ def term_counts(index: DataFrame) -> dict[int, int]:
 def has_passage(item, doc, min_words: int, per_edit: int) -> bool:
     """Whether some min_words or more consecutive words of ``item`` stand in ``doc`` with at most one edit per ``per_edit`` of them.
 
-    Row s of the table holds the least edits of item[s:j] against any stretch of doc that ends at each place.
+    Row s of the table holds the least edits of item[s:j] against any stretch of doc that ends
+    at each place. Starts of the last 2 * min_words words are enough: a longer passage falls
+    into two of at least min_words words, and one of them keeps the bound as well.
     """
     import numpy as np
 
-    m, n = len(item), len(doc)
+    m, n, rows = len(item), len(doc), 2 * min_words
     cols = np.arange(n + 1, dtype=np.int32)
-    best = np.zeros((m, n + 1), dtype=np.int32)
+    best = np.zeros((rows, n + 1), dtype=np.int32)
     for j in range(m):
-        prev = best[: j + 1]
-        step = prev + 1
-        np.minimum(step[:, 1:], prev[:, :-1] + (doc != item[j]), out=step[:, 1:])
-        step = np.minimum.accumulate(step - cols, axis=1) + cols
-        best[: j + 1] = step
-        if j + 1 >= min_words:
-            s = np.arange(0, j + 2 - min_words)
-            if (per_edit * step[s].min(axis=1) <= j + 1 - s).any():
-                return True
+        best[j % rows] = 0
+        step = best + 1
+        np.minimum(step[:, 1:], best[:, :-1] + (doc != item[j]), out=step[:, 1:])
+        best = np.minimum.accumulate(step - cols, axis=1) + cols
+        starts = np.arange(max(0, j + 1 - rows), j + 2 - min_words)
+        if len(starts) and (per_edit * best[starts % rows].min(axis=1) <= j + 1 - starts).any():
+            return True
     return False
 
 

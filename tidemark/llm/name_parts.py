@@ -51,7 +51,7 @@ _DOTTED = re.compile(r"\b(?:[a-z]\.){2,}(?:[a-z]\b)?|\b[a-z](?:\.[a-z]\b)+")
 def plain(name: str) -> str:
     """Lower case without accents, apostrophes and underscores."""
     s = unicodedata.normalize("NFKD", name)
-    s = "".join(c for c in s if not unicodedata.combining(c)).replace("_", " ")
+    s = " ".join("".join(c for c in s if not unicodedata.combining(c)).replace("_", " ").split())
     s = re.sub(r"(?<=[a-z])(?=[A-Z][a-z])", " ", s)
     return re.sub(r"['’`]", "", s.lower())
 
@@ -91,9 +91,10 @@ def common_words(counts: Mapping[str, int], ordinary: Collection[str], least: fl
 
 def split_joined(token: str, common: Collection[str], least: int = 5) -> list[str]:
     """A distinctive word written together with a following common word, parted."""
-    for cut in range(least, len(token) - 3):
-        if token[cut:] in common:
-            return [token[:cut], token[cut:]]
+    longest = max(map(len, common), default=0)
+    for size in range(min(longest, len(token) - least), 3, -1):
+        if token[-size:] in common:
+            return [token[:-size], token[-size:]]
     return [token]
 
 

@@ -105,6 +105,7 @@ def link_names(names: DataFrame, name: str, vocabulary: str = VOCABULARY) -> Dat
     shared = seen.where((F.col("n") >= least) | _ordinary(vocabulary)(F.col("w")))
     counts = {r[0]: r[1] for r in shared.collect()}
     common = parts.common_words(counts, counts.keys(), least)
+    longest = max(map(len, common), default=1)
     whole = {w for w in (*common, *parts.GIVEN, *(x for x in parts.LEGAL if len(x) > 5)) if len(w) > 3}
 
     @F.pandas_udf("array<string>")
@@ -159,7 +160,8 @@ def link_names(names: DataFrame, name: str, vocabulary: str = VOCABULARY) -> Dat
         .unionByName(stems.select(F.col("b").alias("stem"), F.col("a").alias("_stem"), "edits", F.lit("").alias("rest")))
         .unionByName(
             nodes.select("stem").distinct().where(F.length("stem") > MIN_WORD + 1)
-            .withColumn("_cut", F.explode(F.sequence(F.lit(MIN_WORD), F.length("stem") - 2)))
+            # what follows the distinctive part shortens a common word
+            .withColumn("_cut", F.explode(F.sequence(F.greatest(F.lit(MIN_WORD), F.length("stem") - longest), F.length("stem") - 2)))
             .select("stem", F.substring("stem", F.lit(1), F.col("_cut")).alias("_stem"), F.lit(0).alias("edits"), F.substring("stem", F.col("_cut") + 1, F.length("stem")).alias("rest"))
         )
     )

@@ -13,8 +13,7 @@ piece tokenized alone has the same tokens as in its item. Where a piece begins o
 elsewhere (an overlap that starts in a word, a hard cut) it is tokenized again and, if it
 came out longer than the limit, shortened.
 
-Null and empty texts and items of up to ``limit`` tokens give no pieces from ``split``;
-``keep_small`` returns them as one piece. A text of at most ``limit`` bytes cannot have
+Null and empty texts and items of up to ``limit`` tokens stay whole and give no pieces. A text of at most ``limit`` bytes cannot have
 more tokens than that and is never tokenized. Equal texts give equal pieces.
 """
 
@@ -78,7 +77,7 @@ def cut(text: str, limit: int, overlap: int, path: str = VOCABULARY) -> list[tup
         b = int(offsets[k])
         return k in (0, n) or (raw[b : b + 1].isspace() and raw[b - 1] < 0x80 and not raw[b - 1 : b].isspace())
 
-    out, s = [], 0
+    out, s, done = [], 0, 0
     while True:
         most = limit
         while True:
@@ -86,7 +85,7 @@ def cut(text: str, limit: int, overlap: int, path: str = VOCABULARY) -> list[tup
             if end < n:
                 for places in levels:
                     i = bisect_right(places, end)
-                    if i and places[i - 1] > s + max(most // 2, overlap):
+                    if i and places[i - 1] > max(s + max(most // 2, overlap), done):
                         end = places[i - 1]
                         break
                 else:
@@ -98,13 +97,21 @@ def cut(text: str, limit: int, overlap: int, path: str = VOCABULARY) -> list[tup
             if tokens <= limit or end - s <= 1:
                 break
             most = min(most, end - s) - (tokens - limit)
+        if end <= done:  # the overlap left no room for anything new: begin later
+            s += 1
+            while inside(s):
+                s += 1
+            continue
         out.append((chars(s), chars(end) - chars(s), tokens))
         if end >= n:
             return out
+        done = end
         nxt = max(end - overlap, s + 1)
         while inside(nxt) and nxt > s + 1:
             nxt -= 1
-        s = end if inside(nxt) else nxt
+        while inside(nxt):
+            nxt += 1
+        s = nxt
 
 
 def _cuts(path: str, limit: int, overlap: int):
@@ -120,15 +127,19 @@ def with_cuts(df: DataFrame, text: str, limit: int = 1024, overlap: int = 64, pa
     """Rows of more than ``limit`` tokens with the array of their cuts."""
     if not 0 <= overlap < limit // 2:
         raise ValueError("overlap must be under half of limit")
-    if out in df.columns:
-        raise ValueError(f"the input already has a column {out}")
+    if out.lower() == text.lower():
+        raise ValueError("the output can't be called like the text")
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() != out.lower()])
     long = df.where(F.octet_length(text) > limit)  # tokens are at least one byte each
     return long.withColumn(out, _cuts(path, limit, overlap)(F.col(text))).where(F.size(out) > 1)
 
 
 def split(df: DataFrame, text: str, limit: int = 1024, overlap: int = 64, path: str = VOCABULARY) -> DataFrame:
-    """One row per piece: the other columns, piece_no from 0, start, n_tokens, piece."""
-    cuts = with_cuts(df, text, limit, overlap, path, "_cuts")
-    rest = [c for c in df.columns if c != text]
-    rows = cuts.select(*rest, text, F.posexplode("_cuts").alias("piece_no", "_c"))
-    return rows.select(*rest, "piece_no", F.col("_c.start").alias("start"), F.col("_c.n_tokens").alias("n_tokens"), F.substr(F.col(text), F.col("_c.start") + 1, F.col("_c.length")).alias("piece"))
+    """One row per piece: the other columns, piece_no from 0, start, n_tokens, piece.
+
+    Input columns called like these four are replaced.
+    """
+    cuts = with_cuts(df, text, limit, overlap, path, "__tm_cuts")
+    rest = [F.col(f"`{c}`") for c in df.columns if c != text and c.lower() not in ("piece_no", "start", "n_tokens", "piece")]
+    rows = cuts.select(*rest, text, F.posexplode("__tm_cuts").alias("piece_no", "__tm_c"))
+    return rows.select(*rest, "piece_no", F.col("__tm_c.start").alias("start"), F.col("__tm_c.n_tokens").alias("n_tokens"), F.substr(F.col(text), F.col("__tm_c.start") + 1, F.col("__tm_c.length")).alias("piece"))
