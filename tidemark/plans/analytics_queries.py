@@ -33,11 +33,12 @@ def query(sql: str | None = None):
 
 
 def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in cols})
+    """Rounded, and no negative zero."""
+    return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in cols})
 
 
 def r(cols: list[str], digits: int = 6) -> str:
-    return ", ".join(f"round({c}, {digits}) AS {c}" for c in cols)
+    return ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in cols)
 
 
 # signals
