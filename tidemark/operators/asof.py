@@ -23,12 +23,12 @@ def _one_per_day(right: DataFrame, by: str, on: str, payload: Sequence[str]) ->
 
 
 def asof_join(
-    left: DataFrame, right: DataFrame, by: str, left_on: str, right_on: str, payload: Sequence[str], direction: str = "backward", tolerance_days: int | None = None, prefix: str = ""
+    left: DataFrame, right: DataFrame, by: str, left_on: str, right_on: str, payload: Sequence[str], direction: str = "backward", tolerance_days: int | None = None, prefix: str = "", span: tuple | None = None
 ) -> DataFrame:
     """``left`` with ``payload`` of the nearest right row at or before (``backward``) or at or after (``forward``) its day.
 
     ``left_on`` and ``right_on`` are dates (or timestamps, taken by their day, the latest of
-    a day winning). ``tolerance_days`` bounds the distance, both ends included.
+    a day winning). ``tolerance_days`` bounds the distance, both ends included. ``span``: see ``versions.as_known``.
     """
     if direction not in ("backward", "forward"):
         raise ValueError("direction is backward or forward")
@@ -43,4 +43,4 @@ def asof_join(
         reach = F.date_sub("_day", tolerance_days) if tolerance_days is not None else F.lit("0001-01-01").cast("date")
         start = F.greatest(start, reach)
     spans = days.select(by, start.alias(FROM), end.alias(TO), *payload)
-    return as_known(left, spans, by, left_on, payload, prefix=prefix)
+    return as_known(left, spans, by, left_on, payload, prefix=prefix, span=span)

@@ -38,9 +38,9 @@ def benchmark_of(segment: Column, mapping: Mapping[str, str], default: str) -> C
     return out
 
 
-def attach_returns(events: DataFrame, returns: DataFrame, horizons: Sequence[int], key: str = "ticker", day: str = "action_date", prefix: str = "", date_out: str = "reference_trading_date") -> DataFrame:
+def attach_returns(events: DataFrame, returns: DataFrame, horizons: Sequence[int], key: str = "ticker", day: str = "action_date", prefix: str = "", date_out: str = "reference_trading_date", span: tuple | None = None) -> DataFrame:
     """``events`` with the returns of the first bar at or after their day."""
     cols = ["date", *[f"return_{h}d" for h in horizons]]
     side = returns.select(F.col("ticker").alias(key), *cols)
-    joined = asof_join(events, side, key, day, "date", cols, "forward", prefix="_b_")
+    joined = asof_join(events, side, key, day, "date", cols, "forward", prefix="_b_", span=span)
     return joined.withColumnsRenamed({"_b_date": date_out} | {f"_b_return_{h}d": f"{prefix}return_{h}d" for h in horizons})

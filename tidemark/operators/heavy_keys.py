@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,7 +74,8 @@ def heavy_keys(df: DataFrame, key: str, share: float) -> DataFrame:
     few = F.broadcast(candidates(df, key, share))  # at most 2 / share rows
     counted = df.select(key).join(few, key).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     n = total.first()[0]
-    return counted.where(F.col("n") >= F.lit(share * n)).withColumn("total", F.lit(n).cast("long"))
+    least = math.ceil(Fraction(str(share)) * n)  # exact: a share of 0.05 has no exact double
+    return counted.where(F.col("n") >= F.lit(least)).withColumn("total", F.lit(n).cast("long"))
 
 
 def aggregate(df: DataFrame, key: str, aggs: Sequence[Agg], share: float = 0.01, salts: int = SALTS) -> DataFrame:

@@ -40,11 +40,12 @@ def validity_intervals(versions: DataFrame, entity: str, effective: Column, prec
     return changes.withColumn(TO, F.lead(FROM).over(by_time)).select(entity, FROM, TO, *[F.col("_best._v")[c].alias(c) for c in payload])
 
 
-def as_known(events: DataFrame, intervals: DataFrame, entity: str, time: str, payload: Sequence[str], prefix: str = "known_", bucket_days: int = 64) -> DataFrame:
+def as_known(events: DataFrame, intervals: DataFrame, entity: str, time: str, payload: Sequence[str], prefix: str = "known_", bucket_days: int = 64, span: tuple | None = None) -> DataFrame:
     """All rows of ``events`` with the payload in force on their day, each column prefixed.
 
     Buckets of intervals are built only over the span of the events' days, whose two
-    ends are the only values fetched to the driver. Other event columns that are called
+    ends are the only values fetched to the driver; a caller that knows two days between
+    which all events lie gives them as ``span`` and saves that pass. Other event columns that are called
     like a prefixed payload column are replaced.
     """
     added = {(prefix + c).lower() for c in payload}
@@ -52,7 +53,7 @@ def as_known(events: DataFrame, intervals: DataFrame, entity: str, time: str, pa
         raise ValueError("a payload column can't be called like the entity or the time")
     events = events.select(*[F.col(f"`{c}`") for c in events.columns if c.lower() not in added])
     day = F.col(time).cast("date")
-    first, last = events.agg(F.min(day), F.max(day)).first()
+    first, last = span or events.agg(F.min(day), F.max(day)).first()
     bucket = lambda d: F.floor(F.unix_date(d) / F.lit(bucket_days)).cast("int")
     if first is None:
         return events.select("*", *[F.lit(None).cast(intervals.schema[c].dataType).alias(prefix + c) for c in payload])

@@ -18,14 +18,16 @@ from tidemark.operators.quantiles import quantiles
 from tidemark.schemas import RAW_TRANSACTION
 
 VERSION = "0.1.0"
+#: Kinds of award in scope (fixed values).
 AWARD_TYPES = ("DEFINITIVE CONTRACT", "DELIVERY ORDER", "PURCHASE ORDER")
-#: Words that mark changes without new money.
+#: Words that mark changes without new money (fixed values).
 QUIET_WORDS = ("No Cost", "Time Extension", "Administrative Change", "Correction", "Address Update", "Revision", "Clerical", "SP30")
-#: Words that mark new money.
+#: Words that mark new money (fixed values).
 MONEY_WORDS = (
     "Add", "Obligate", "Increment", "Funding", "Production", "Procurement", "Manufacture", "Purchase", "Acquisition", "Construction", "Execute",
     "UCA", "Definitization", "Letter Contract", "Undefinitized", "ICS", "Interim Contractor Support", "CLS", "Option", "Incentive Fee", "Award Fee", "Exercise",
 )
+#: Kinds of transaction that announce something (fixed values).
 PRIMARY = ("NEW_AWARDS", "NEW_DELIVERY_ORDERS", "FUNDING_INCREASE")
 
 
@@ -159,12 +161,16 @@ def validate(events: DataFrame, daily: DataFrame, horizons: Sequence[int], bench
     Benchmarks are taken at the day of the ticker's own first bar; without one all stay null.
     """
     rets = bars.forward_returns(daily, horizons)
-    out = bars.attach_returns(events, rets, horizons)
+    # reference days are days of bars: one look at both tables serves all three joins
+    dates = events.select(F.col("action_date").cast("date").alias("d")).unionByName(daily.select(F.col("date").cast("date").alias("d")))
+    span = tuple(dates.agg(F.min("d"), F.max("d")).first())
+    span = span if span[0] else None
+    out = bars.attach_returns(events, rets, horizons, span=span)
     ref = F.col("reference_trading_date")
     out = out.withColumn("fiscal_quarter", x.fiscal_quarter(F.col("action_date")))
     out = out.withColumns({"_spy": F.when(ref.isNotNull(), F.lit(benchmark)), "industry_benchmark_ticker": F.when(ref.isNotNull(), bars.benchmark_of(F.col("industry"), industry_benchmarks, benchmark))})
-    out = bars.attach_returns(out, rets, horizons, "_spy", "reference_trading_date", "benchmark_", "_d1")
-    out = bars.attach_returns(out, rets, horizons, "industry_benchmark_ticker", "reference_trading_date", "industry_benchmark_", "_d2")
+    out = bars.attach_returns(out, rets, horizons, "_spy", "reference_trading_date", "benchmark_", "_d1", span)
+    out = bars.attach_returns(out, rets, horizons, "industry_benchmark_ticker", "reference_trading_date", "industry_benchmark_", "_d2", span)
     excess = {}
     for h in horizons:
         excess[f"excess_return_{h}d"] = F.col(f"return_{h}d") - F.col(f"benchmark_return_{h}d")
