@@ -12,10 +12,13 @@ from tidemark.operators.asof import asof_join
 
 
 def latest(df: DataFrame, keys: Sequence[str], newest: Sequence[str]) -> DataFrame:
-    """One row per key, the greatest by ``newest`` and then by all other columns; combined on the map side."""
-    rest = [c for c in df.columns if c not in keys and c not in newest]
-    best = df.groupBy(*keys).agg(F.max(F.struct(*newest, *rest)).alias("_v"))
-    return best.select(*[F.col(c) if c in keys else F.col("_v")[c].alias(c) for c in df.columns])
+    """One row per key, the greatest by ``newest``; rows that tie in all of these must be alike or any of them will do.
+
+    A ranked window: columns that nobody reads are pruned below it, and the limit of one row
+    per key is applied before the shuffle as well.
+    """
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in newest] or [F.lit(0)])
+    return df.withColumn("__tm_place", F.row_number().over(w)).where(F.col("__tm_place") == 1).drop("__tm_place")
 
 
 def changes(bars: DataFrame, key: str = "ticker", day: str = "date", price: str = "close_adj", out: str = "ret_back_1d") -> DataFrame:

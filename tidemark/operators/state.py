@@ -17,12 +17,13 @@ from tidemark.operators.bars import latest
 def upsert(table: DataFrame, batch: DataFrame, keys: Sequence[str], newest: Sequence[str] = ()) -> DataFrame:
     """``table`` with the rows of ``batch``; only columns that the batch has are replaced.
 
-    Several batch rows of a key are reduced to the greatest by ``newest``. A null key matches a null key.
+    Several batch rows of a key are reduced to the greatest by ``newest``, then by the other columns. A null key matches a null key.
     """
     unknown = [c for c in batch.columns if c not in table.columns]
     if unknown:
         raise ValueError(f"the table has no columns {unknown}")
-    fresh = latest(batch, keys, [c for c in newest if c not in keys]).select(*[F.col(c).alias("_n_" + c) for c in batch.columns], F.lit(True).alias("_new"))
+    order = [*newest, *(c for c in batch.columns if c not in keys and c not in newest)]
+    fresh = latest(batch, keys, order).select(*[F.col(c).alias("_n_" + c) for c in batch.columns], F.lit(True).alias("_new"))
     old = table.withColumn("_old", F.lit(True))
     cond = F.lit(True)
     for k in keys:

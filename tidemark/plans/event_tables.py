@@ -51,7 +51,7 @@ def signal_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def daily_bars(spark: SparkSession, d: str) -> DataFrame:
     some = table(spark, d, "cache_returns").where(F.col("close_adj").isNotNull()).select("ticker", "date", "fetched_at", "close_adj")
-    return bars.latest(some, ["ticker", "date"], ["fetched_at"]).drop("fetched_at")
+    return bars.latest(some, ["ticker", "date"], ["fetched_at", "close_adj"]).drop("fetched_at")
 
 
 def benchmarks(daily: DataFrame) -> list[str]:

@@ -305,7 +305,7 @@ def top15_value_counts(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT ticker, date, close_adj, fetched_at FROM cache_returns WHERE close_adj IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ticker, date ORDER BY fetched_at DESC, close_adj DESC) = 1")
 def latest_per_key(spark: SparkSession, d: str) -> DataFrame:
     some = table(spark, d, "cache_returns").where(F.col("close_adj").isNotNull()).select("ticker", "date", "close_adj", "fetched_at")
-    return bars.latest(some, ["ticker", "date"], ["fetched_at"])
+    return bars.latest(some, ["ticker", "date"], ["fetched_at", "close_adj"])
 
 
 # keyed state
