@@ -9,11 +9,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.functions import exprs as x
 from tidemark.operators import bars
 from tidemark.operators.asof import asof_join
+from tidemark.operators.history import value_before
 from tidemark.operators.quantiles import quantiles
 from tidemark.schemas import RAW_TRANSACTION
 
@@ -33,9 +33,9 @@ PRIMARY = ("NEW_AWARDS", "NEW_DELIVERY_ORDERS", "FUNDING_INCREASE")
 
 def full_history_lag(df: DataFrame) -> DataFrame:
     """Ceiling before each transaction of its contract, and the change, over unfiltered history."""
-    w = Window.partitionBy("award_id_piid").orderBy(F.col("action_date").asc_nulls_last(), F.col("contract_transaction_unique_key").asc_nulls_last())
-    out = df.withColumn("prev_potential_value", F.lag(F.col("potential_total_value_of_award").cast("double")).over(w))
-    return out.withColumn("ceiling_change", F.col("potential_total_value_of_award").cast("double") - F.col("prev_potential_value"))
+    df = df.withColumn("potential_total_value_of_award", F.col("potential_total_value_of_award").cast("double"))
+    out = value_before(df, "award_id_piid", "action_date", "contract_transaction_unique_key", "potential_total_value_of_award", "prev_potential_value")
+    return out.withColumn("ceiling_change", F.col("potential_total_value_of_award") - F.col("prev_potential_value"))
 
 
 def transaction_type(threshold: float = 5e6) -> Column:
