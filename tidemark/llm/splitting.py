@@ -120,7 +120,8 @@ def _cuts(path: str, limit: int, overlap: int):
         for texts in batches:
             yield pd.Series([[dict(zip(("start", "length", "n_tokens"), p, strict=True)) for p in cut(t, limit, overlap, path)] for t in texts])
 
-    return cuts
+    # else the optimiser repeats it, once for the filter on its result and once for the result
+    return cuts.asNondeterministic()
 
 
 def with_cuts(df: DataFrame, text: str, limit: int = 1024, overlap: int = 64, path: str = VOCABULARY, out: str = "cuts") -> DataFrame:
