@@ -31,8 +31,8 @@ def forget() -> None:
 
 
 def raw(spark: SparkSession, d: str) -> DataFrame:
-    """Transactions, the last load of each."""
-    return bars.latest(table(spark, d, "raw_filtered_awards"), [KEY], ["ingested_at"])
+    """Transactions, the last load of each: a phase table, since history is read more than once."""
+    return kept(spark, d, "transactions", lambda: bars.latest(table(spark, d, "raw_filtered_awards"), [KEY], ["ingested_at"]))
 
 
 def enriched(spark: SparkSession, d: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import exprs as x
+from tidemark.materialize import stored
 from tidemark.operators import bars
 from tidemark.operators.asof import asof_join
 from tidemark.operators.history import value_before
@@ -134,10 +135,13 @@ def quality_tags(df: DataFrame, microcap: float = 5e7, tail: float = 0.99) -> Da
 
 
 def signals(df: DataFrame) -> DataFrame:
-    """All signals, quality tags and event class; the ceiling change is derived where it is missing."""
+    """All signals, quality tags and event class; the ceiling change is derived where it is missing.
+
+    The ratios are stored, because their quantiles by sector read them twice before they are tagged.
+    """
     if "ceiling_change" not in df.columns:
         df = full_history_lag(df).drop("prev_potential_value")
-    return quality_tags(ratio_signals(df)).withColumn("event_class", event_class()).drop("prev_potential_value")
+    return quality_tags(stored(ratio_signals(df), "ratio-signals")).withColumn("event_class", event_class()).drop("prev_potential_value")
 
 
 def point_in_time_cap(events: DataFrame, prices: DataFrame, shares: DataFrame, current: DataFrame, close_days: int = 10, share_days: int = 180) -> DataFrame:
