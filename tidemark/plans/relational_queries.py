@@ -211,9 +211,9 @@ SELECT contract_transaction_unique_key, ticker, action_date, close AS close_pric
   round(close * coalesce(known, shares_now), 2) AS market_cap, CASE WHEN close IS NULL THEN 'no_close' WHEN known IS NOT NULL THEN 'ok' WHEN shares_now IS NOT NULL THEN 'stale_shares' ELSE 'no_shares' END AS market_cap_quality FROM e""")
 def pit_market_cap(spark: SparkSession, d: str) -> DataFrame:
     cache = table(spark, d, "cache_market_cap")
-    shares = cache.where((F.col("status") == "success") & (F.month("date") <= 6) & F.col("shares_outstanding").isNotNull())
+    shares = cache.where((F.col("status") == "success") & F.col("shares_outstanding").isNotNull())
     shares = shares.groupBy("ticker", F.col("date").alias("report_date")).agg(F.max("shares_outstanding").alias("count"))
-    current = cache.where(F.col("ticker") < "X").groupBy("ticker").agg(F.max("shares_outstanding").alias("shares_now"))
+    current = cache.groupBy("ticker").agg(F.max("shares_outstanding").alias("shares_now"))
     prices = t.daily_bars(spark, d).withColumnRenamed("close_adj", "close")
     return phases.point_in_time_cap(_listed(spark, d), prices, shares, current).withColumn("market_cap", F.round("market_cap", 2))
 
