@@ -83,6 +83,31 @@ def test_links(spark):
     assert not {got[n] for n in FILLER} & set.union(*classes.values())
 
 
+def test_one_organisation_with_a_third_of_the_names(spark):
+    rng = random.Random(4)
+
+    def mistyped(w):
+        at = rng.randrange(1, len(w))
+        return w[:at] + rng.choice("aeiourstln") + w[at + rng.choice([0, 1]) :]
+
+    heavy = {"Vostrumelik", "Vostrumelik Textile", "Vostrumelik Textile Grp", "Vostrumelik Txtl Group Co", "Vostrumelik Textile Group Co", "Textile Vostrumelik Group"}
+    while len(heavy) < 100:
+        w = ["Vostrumelik", "Textile", "Group"]
+        for i in rng.sample(range(1, 3), rng.choice([1, 2])):
+            w[i] = mistyped(w[i])
+        heavy.add(" ".join(w) + rng.choice(["", " Co", " Inc", " Ltd"]))
+    stems = ["Kobalentis", "Mirupadel", "Dazikanor", "Tebrulizan", "Gafemodul", "Pelutirak", "Shurogimen", "Wandelopi"]
+    rest = [f"{s} {f} {k}{e}" for s in stems for f in ("Textile", "Ordnance") for k in ("Group", "Grp", "Holdings", "Hldgs") for e in ("", " Co", " Inc")]
+    got = {r.name: r.class_id for r in nv.link_names(spark.createDataFrame([(n,) for n in sorted(heavy) + rest], "n string"), "n").collect()}
+    classes = [got[n] for n in heavy]
+    main = max(set(classes), key=classes.count)
+    assert {got[n] for n in ("Vostrumelik", "Vostrumelik Textile", "Vostrumelik Textile Grp", "Vostrumelik Txtl Group Co", "Textile Vostrumelik Group")} == {main}
+    assert classes.count(main) >= 0.9 * len(heavy)
+    assert main not in {got[n] for n in rest}
+    assert len({got[f"{s} Ordnance Group"] for s in stems}) == len(stems)  # a general word that no vocabulary has
+    assert all(got[f"{s} Ordnance Group"] == got[f"{s} Ordnance Grp Co"] for s in stems)
+
+
 def test_pairs_and_empty(spark, rows):
     linked = spark.createDataFrame([("b", 1), ("a", 1), ("c", 1), ("z", 2)], "name string, class_id int")
     assert rows(nv.pairs(linked)) == [("a", "b"), ("a", "c"), ("b", "c")]

@@ -2,7 +2,9 @@
 
 A name is brought into a normal form and parted into its distinctive part (an invented
 word or a surname), full words, open items (abbreviations, initials, short given names)
-and legal form; see ``name_parts``. Words that many names share are learned by counting.
+and legal form; see ``name_parts``. Words that many names share are learned by counting:
+an ordinary word of the language by its names, any other frequent word by the different
+distinctive words that it goes with, since one organisation's own word may be in many names.
 
 Typing errors are found by a pigeonhole segment join over the distinct words: a word is
 cut into k + 1 segments, at most k edits leave one of them whole, so the other word holds
@@ -35,6 +37,10 @@ from tidemark.llm.tokens import VOCABULARY, encoding
 from tidemark.materialize import stored
 
 SHARE, LEAST = 0.002, 25
+#: A frequent word is general if it goes with so many different distinctive words, each in so many of its names.
+COMPANIONS, TOGETHER = 4, 2
+#: A frequent word of one organisation is a typing error of a general word that is so many times as frequent.
+MISTYPED = 10
 EDITS = 2
 MIN_WORD, FULL_EDITS_FROM = 5, 8
 
@@ -94,6 +100,47 @@ def _ordinary(path: str):
     return ordinary
 
 
+def companions(read: DataFrame, seen: DataFrame, frequent: list[str], ordinary: set[str]) -> dict[str, int]:
+    """How many different distinctive words each of the ``frequent`` words goes with.
+
+    Ordinary words, given names, legal forms, abbreviations, known words written together and
+    typing errors of all these don't count, and the typing errors of one word count as that word.
+    So the spellings of one organisation add nothing to the figure of its own word.
+    """
+    if not frequent:
+        return {}
+    known = {*ordinary, *parts.LEGAL, *parts.NOISE, *parts.GIVEN, *parts.SHORT}
+    long: dict[str, list[str]] = {}
+    for w in {*ordinary, *frequent}:
+        long.setdefault(w[0], []).append(w)
+    whole = {w for w in (*known, *frequent) if len(w) > 3}
+
+    @F.pandas_udf("boolean")
+    def distinctive(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def own(w: str) -> bool:
+            if w in known or any(len(c) > len(w) + 1 and parts.abbreviates(w, c) for c in long.get(w[0], ())):
+                return False
+            joined = parts.split_joined(w, whole)
+            return len(joined) == 1 or joined[0] not in whole
+
+        for words in batches:
+            yield pd.Series([own(w) for w in words])
+
+    near = near_words(seen, "w")
+    sides = near.select(F.col("a").alias("w"), F.col("b").alias("right")).unionByName(near.select(F.col("b").alias("w"), F.col("a").alias("right")))
+    n = seen.select(F.col("w").alias("right"), F.col("n").alias("_n"))
+    right = sides.join(n, "right").join(seen.select("w", "n"), "w").where(F.struct("_n", "right") > F.struct("n", "w")).groupBy("w").agg(F.max_by("right", F.struct("_n", "right")).alias("right"))
+    words = seen.where(F.length("w") >= MIN_WORD).select("w").join(right, "w", "left").select("w", F.coalesce("right", "w").alias("other"))
+    words = stored(words.where(distinctive(F.col("other"))), "distinctive-words")
+    each = read.select("name", F.explode(F.array_distinct("words")).alias("w"))
+    chosen = each.sparkSession.createDataFrame([(w,) for w in frequent], "frequent string")
+    some = each.join(F.broadcast(chosen), F.col("w") == F.col("frequent")).select("name", "frequent")  # bounded as the common words are
+    by = some.join(each.join(words, "w").select("name", "other").distinct(), "name").where(F.col("other") != F.col("frequent"))
+    pairs = by.groupBy("frequent", "other").agg(F.count("*").alias("n")).where(F.col("n") >= TOGETHER)
+    found = {r[0]: r[1] for r in pairs.groupBy("frequent").agg(F.count("*").alias("n")).collect()}
+    return {w: found.get(w, 0) for w in frequent}
+
+
 def link_names(names: DataFrame, name: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """(name, class_id) of every distinct name that means somebody."""
     # stored before they are parted: the filter on words would else run below the distinct, on every row
@@ -101,10 +148,13 @@ def link_names(names: DataFrame, name: str, vocabulary: str = VOCABULARY) -> Dat
     read = stored(distinct.withColumn("words", _tokens()(F.col("name"))).where(F.size("words") > 0), "names")
     count = read.count()
     least = max(LEAST, SHARE * count)
-    seen = read.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where((F.col("n") >= 3) & (F.length("w") > 3))
-    shared = seen.where((F.col("n") >= least) | _ordinary(vocabulary)(F.col("w")))
-    counts = {r[0]: r[1] for r in shared.collect()}
-    common = parts.common_words(counts, counts.keys(), least)
+    seen = stored(read.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count("*").alias("n")), "word-counts")
+    some = seen.where((F.col("n") >= 3) & (F.length("w") > 3)).withColumn("ordinary", _ordinary(vocabulary)(F.col("w")))
+    shared = some.where((F.col("n") >= least) | F.col("ordinary")).collect()
+    counts = {r.w: r.n for r in shared}
+    frequent = [r.w for r in shared if not r.ordinary and not any(r.w in x for x in (parts.LEGAL, parts.NOISE, parts.GIVEN, parts.SHORT))]
+    own = {w for w, n in companions(read, seen, frequent, {r.w for r in shared if r.ordinary}).items() if n < COMPANIONS}
+    common = parts.common_words({w: n for w, n in counts.items() if w not in own}, counts.keys(), least)
     longest = max(map(len, common), default=1)
     whole = {w for w in (*common, *parts.GIVEN, *(x for x in parts.LEGAL if len(x) > 5)) if len(w) > 3}
 
@@ -122,9 +172,10 @@ def link_names(names: DataFrame, name: str, vocabulary: str = VOCABULARY) -> Dat
     rank = lambda w: float(counts.get(w, 0))
     known = spark.createDataFrame([(w, rank(w)) for w in sorted(whole)] or [("", 0.0)], "right string, n double")
     sides = near.select(F.col("a").alias("w"), F.col("b").alias("right"), "edits").unionByName(near.select(F.col("b").alias("w"), F.col("a").alias("right"), "edits"))
-    often = [w for w, n in counts.items() if n >= least]
+    often = [w for w, n in counts.items() if n >= least and w not in own]
+    heavy = spark.createDataFrame([(w, rank(w)) for w in sorted(own)] or [("", 0.0)], "w string, own double")
     mend = (
-        sides.join(F.broadcast(known), "right").join(F.broadcast(known.select(F.col("right").alias("w"))), "w", "left_anti")  # bounded, see above
+        sides.join(F.broadcast(known), "right").join(F.broadcast(heavy), "w", "left").where(F.col("own").isNull() | (F.col("n") > MISTYPED * F.col("own"))).join(F.broadcast(known.select(F.col("right").alias("w"))), "w", "left_anti")  # bounded, see above
         .where(~F.col("w").isin(often) if often else F.lit(True))
         .groupBy("w").agg(F.min_by("right", F.struct("edits", -F.col("n"), "right")).alias("right"))
     )
