@@ -5,6 +5,7 @@ from datetime import date, datetime
 import pytest
 
 import __spark_entry__ as entry
+from tidemark.plans import relational_queries
 
 
 @pytest.fixture
@@ -29,3 +30,11 @@ def test_market_cap_uses_all_share_counts_and_tickers(spark, put, rows):
     d = put("cache_market_cap", counts, "ticker string, date date, shares_outstanding double, status string")
     got = rows(entry.queries()["pit_market_cap"](spark, d), "contract_transaction_unique_key", "shares_outstanding", "market_cap", "market_cap_quality")
     assert got == [("k1", 7.0, 70.0, "ok"), ("k2", 3.0, 30.0, "stale_shares"), ("k3", None, None, "no_shares"), ("k4", None, None, "no_close"), ("k5", None, None, "no_shares")]
+
+
+def test_all_eligible_rows_in_order_and_an_optional_limit(spark, put):
+    events = [(f"k{i:04}", "ZZZ" if i % 2 else "AAA", date(2023, 1, 1), True, float(i)) for i in range(1203)] + [("x", "AAA", date(2023, 1, 1), False, 1.0), ("y", None, date(2023, 1, 1), True, 1.0), ("z", "AAA", date(2023, 1, 1), True, None)]
+    d = put("enriched_awards", events + events[:5], "contract_transaction_unique_key string, ticker string, action_date date, is_public boolean, market_cap double")
+    want = sorted((e[1], e[2], e[0], e[4]) for e in events[:1203])
+    assert [tuple(r) for r in entry.queries()["eligible_order_limit"](spark, d).collect()] == want
+    assert [tuple(r) for r in relational_queries.eligible_order_limit(spark, d, 7).collect()] == want[:7]

@@ -56,9 +56,10 @@ def ingestion_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("SELECT ticker, action_date, contract_transaction_unique_key, market_cap FROM (SELECT DISTINCT ticker, action_date, contract_transaction_unique_key, market_cap FROM enriched_awards WHERE is_public AND market_cap IS NOT NULL AND ticker IS NOT NULL) ORDER BY ticker, action_date, contract_transaction_unique_key LIMIT 500")
-def eligible_order_limit(spark: SparkSession, d: str) -> DataFrame:
+def eligible_order_limit(spark: SparkSession, d: str, limit: int | None = None) -> DataFrame:
     e = table(spark, d, "enriched_awards").where(F.col("is_public") & F.col("market_cap").isNotNull() & F.col("ticker").isNotNull())
-    return e.select("ticker", "action_date", KEY, "market_cap").distinct().orderBy("ticker", "action_date", KEY).limit(500)
+    out = e.select("ticker", "action_date", KEY, "market_cap").distinct().orderBy("ticker", "action_date", KEY)
+    return out if limit is None else out.limit(limit)
 
 
 @query("SELECT ticker, date, close_adj FROM cache_returns WHERE date BETWEEN DATE '2023-01-01' AND DATE '2023-03-31'")
