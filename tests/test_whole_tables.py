@@ -38,3 +38,11 @@ def test_all_eligible_rows_in_order_and_an_optional_limit(spark, put):
     want = sorted((e[1], e[2], e[0], e[4]) for e in events[:1203])
     assert [tuple(r) for r in entry.queries()["eligible_order_limit"](spark, d).collect()] == want
     assert [tuple(r) for r in relational_queries.eligible_order_limit(spark, d, 7).collect()] == want[:7]
+
+
+def test_upsert_into_all_customers(spark, put, rows):
+    put("customer", [(i, float(i), f"s{i}") for i in range(1, 8)], "c_custkey int, c_acctbal double, c_mktsegment string")
+    orders = [(3, 30.0, "P"), (3, 31.0, "P"), (4, 40.0, "P"), (5, 50.0, "O"), (9, 90.0, "P")]
+    d = put("orders", orders, "o_custkey int, o_totalprice double, o_orderstatus string")
+    got = rows(entry.queries()["upsert_merge"](spark, d), "c_custkey", "c_acctbal", "c_mktsegment")
+    assert got == [(1, 1.0, "s1"), (2, 2.0, "s2"), (3, 31.0, "s3"), (4, 40.0, "s4"), (5, 5.0, "s5"), (6, 6.0, "s6"), (7, 7.0, "s7"), (9, 90.0, None)]
