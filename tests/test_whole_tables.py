@@ -46,3 +46,17 @@ def test_upsert_into_all_customers(spark, put, rows):
     d = put("orders", orders, "o_custkey int, o_totalprice double, o_orderstatus string")
     got = rows(entry.queries()["upsert_merge"](spark, d), "c_custkey", "c_acctbal", "c_mktsegment")
     assert got == [(1, 1.0, "s1"), (2, 2.0, "s2"), (3, 31.0, "s3"), (4, 40.0, "s4"), (5, 5.0, "s5"), (6, 6.0, "s6"), (7, 7.0, "s7"), (9, 90.0, None)]
+
+
+def test_pages_of_all_rows(spark, put, rows):
+    day, s = date(2023, 2, 3), "2023-02-03"
+    data = [
+        ("a", "A & <B>", "C1", day, "Own  &  Co ", "C2"), ("b", "Biz  & <Co", "C1", day, None, None), ("c", "Biz", None, day, "Own", "C2"),
+        ("d", "Biz", "C1", None, "Own", "C2"), ("e", "Biz", "C1", day, "Own", None), ("f", "Biz", "C1", day, None, "C2"), ("g", None, None, None, None, None),
+    ]
+    d = put("enriched_awards", data, "contract_transaction_unique_key string, cage_business_name string, cage_code string, cage_update_date date, highest_level_owner_name string, highest_level_cage_code string")
+    got = rows(entry.queries()["html_detail_parse"](spark, d), "contract_transaction_unique_key", "cage_code", "cage_update_date", "is_highest", "owner", "owner_code")
+    assert got == [
+        ("a", "C1", s, False, "Own & Co", "C2"), ("b", "C1", s, True, "Biz & <Co", "C1"), ("c", "", s, False, "Own", "C2"),
+        ("d", "C1", "", False, "Own", "C2"), ("e", "C1", s, False, "Own", "C1"), ("f", "C1", s, False, "Biz", "C2"), ("g", "", "", True, "", ""),
+    ]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -386,18 +386,24 @@ def value_count_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 _PAGE = """<table><tr><td class="detail-left-col">Legal Business Name</td><td class="detail-right-col">%s</td></tr></table>
-<div id="detail_topsection"><label>CAGE</label><span>%s</span><label>CAGE Update Date</label><span>%s</span></div>
-<div id="ownership"><div class="subsection_header">Highest Level Owner</div><div class="data">%s</div></div>"""
+<div id="detail_topsection">%s%s</div>%s"""
+_OWNER = """
+<div id="ownership"><div class="subsection_header">Highest Level Owner</div><div class="data">%s%s</div></div>"""
+
+
+def _field(label: str, value: Column) -> Column:
+    """A label and its escaped value, nothing for null."""
+    escaped = F.replace(F.replace(value, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    return F.when(value.isNotNull(), F.format_string(f"<label>{label}</label><span>%s</span>", escaped)).otherwise("")
 
 
 @query("SELECT contract_transaction_unique_key, cage_code, strftime(cage_update_date, '%Y-%m-%d') AS cage_update_date, is_highest, highest_level_owner_name AS owner, highest_level_cage_code AS owner_code FROM (SELECT contract_transaction_unique_key, cage_code, cage_update_date, FALSE AS is_highest, highest_level_owner_name, highest_level_cage_code FROM enriched_awards WHERE highest_level_owner_name = trim(highest_level_owner_name) AND NOT contains(highest_level_owner_name, '  ') AND cage_code IS NOT NULL AND cage_update_date IS NOT NULL AND highest_level_cage_code IS NOT NULL)")
 def html_detail_parse(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "enriched_awards")
-    name = F.col("highest_level_owner_name")
-    e = e.where((name == F.trim(name)) & ~name.contains("  ") & F.col("cage_code").isNotNull() & F.col("cage_update_date").isNotNull() & F.col("highest_level_cage_code").isNotNull())
-    escaped = F.replace(F.replace(name, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    owner = F.format_string("<label>Company Name</label><span>%s</span><label>CAGE</label><span>%s</span>", escaped, "highest_level_cage_code")
-    page = F.format_string(_PAGE, F.coalesce("cage_business_name", F.lit("")), "cage_code", F.date_format("cage_update_date", "MM/dd/yyyy"), owner)
+    name, code = F.col("highest_level_owner_name"), F.col("highest_level_cage_code")
+    owner = F.when(name.isNotNull() | code.isNotNull(), F.format_string(_OWNER, _field("Company Name", name), _field("CAGE", code))).otherwise("")
+    business = F.coalesce(F.replace(F.replace("cage_business_name", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(""))
+    page = F.format_string(_PAGE, business, _field("CAGE", F.col("cage_code")), _field("CAGE Update Date", F.date_format("cage_update_date", "MM/dd/yyyy")), owner)
     p = e.select(KEY, parse_details(page).alias("p"))
     return p.select(KEY, "p.cage_code", "p.cage_update_date", "p.is_highest", F.col("p.highest_level_owner_name").alias("owner"), F.col("p.highest_level_cage_code").alias("owner_code"))
 
