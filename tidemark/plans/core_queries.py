@@ -124,7 +124,7 @@ def _flags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    # the operator's tail cutoffs lie at or below the plausibility ratio; the ratio is the exact check
+    # tail includes every ratio reading, so the ratio rule alone decides here
     hit = F.col("impossible") | (F.col("tail") & F.col("ratio")) | F.col("frozen")
     return _flags(spark, d).where(hit).select("contract_transaction_unique_key", "field")
 
