@@ -74,6 +74,32 @@ def test_flags(spark, rows):
     assert sum(f.tail for f in flags.values()) < 0.01 * n
 
 
+def test_the_fit_finds_the_spikes_and_more(spark):
+    """Normal readings with three spikes in a thousand: the fitted cutoff lies between both and is not moved by the spikes."""
+    rng = random.Random(7)
+    clean = [("a", "x", 10 ** rng.gauss(5, 0.3), D0 + timedelta(days=rng.randint(0, 700)), f"u{i}") for i in range(6000)]
+    spikes = [("a", "x", 10 ** rng.uniform(7.2, 12), D0 + timedelta(days=rng.randint(0, 700)), f"s{i}") for i in range(20)]
+    mild = [("a", "x", 10 ** 6.9, D0 + timedelta(days=i), f"m{i}") for i in range(5)]
+    farther = [(a, b, v * 1e30, *rest) for a, b, v, *rest in spikes]
+    uppers = []
+    for rows in (clean, clean + spikes + mild, clean + farther + mild):
+        cells = s.tail_cutoffs(frame(spark, rows)).collect()
+        assert len(cells) == 12 and {c.top_by for c in cells} == {"fit"}
+        uppers.append(cells[0].upper)
+    assert 0.9 < uppers[0] < 1.5 and uppers[1] < 1.9 and uppers[2] == pytest.approx(uppers[1])
+    flags = {r.id: r for r in s.flag(frame(spark, clean + spikes + mild), ["id"]).collect()}
+    recall = sum(flags[i].found_by == "fit" for i in range(6000, 6020)) / 20
+    assert recall == 1.0
+    assert all(flags[i].tail and not flags[i].ratio and flags[i].found_by is None for i in range(6020, 6025))
+    assert sum(i < 6000 for i in flags) < 12
+
+
+def test_cells_without_a_tail_fall_back_to_the_plausibility_bound(spark):
+    rows = [("a", "x", 2.0, D0, "u0")] * 50 + [("a", "x", 2e6, D0, "u0"), ("a", "x", 2e6, None, "u0")]
+    flags = s.flag(frame(spark, rows), ["id"]).collect()
+    assert sorted((f.id, f.found_by, f.tail) for f in flags) == [(50, "plausibility", False), (51, "plausibility", False)]
+
+
 def test_null_sources_and_empty(spark):
     assert s.flag(frame(spark, []), ["id"]).count() == 0
     got = s.flag(frame(spark, [(None, "x", float("inf"), None, None), (None, "x", 1e300, D0, "u")]), ["id"]).collect()

@@ -3,22 +3,29 @@
 Readings are (source, field, value, day, unit): ``unit`` is what a value may rightly be
 repeated on (one contract). Per source and field:
 
-* **tail**: peaks over threshold. The residual of a reading is log10 of its magnitude
-  less the median of its source, field and month of the year. Above the ``tail``
-  quantile of residuals (and below the opposite one) a generalised Pareto distribution
-  is fitted by moments, which gives the cutoff that a normal reading passes with a
-  probability of ``risk``. A cutoff never lies beyond the plausibility ratio.
-* **ratio**: magnitude over ``max_ratio`` times the source's exact median non-zero
-  finite magnitude (or, where asked for, under its inverse).
+* **tail**: peaks over threshold. The residual of a reading is log10 of its magnitude less
+  the median of its source, field and month of the year (readings without a day are a
+  season of their own). Beyond the ``tail`` quantile of residuals, on either side, a
+  generalised Pareto distribution is fitted by quantiles of the excesses (Pickands): spikes
+  count as ranks there and move the fit by their number only, however far they lie. The fit gives the cutoff that a normal reading passes with a probability of ``risk``. The
+  shape is drawn towards an exponential tail by what its own sampling error is worth, so a
+  source with few readings gets a fit as well.
+* **ratio**: magnitude over ``max_ratio`` times the source's exact median non-zero finite
+  magnitude (or, where asked for, under its inverse). It is checked on the readings beyond
+  the start of their cell (source, field, month): the fitted cutoff, or the plausibility
+  bound (the ratio itself) in those cells whose fit lies beyond it or doesn't exist.
 * **frozen**: one non-zero value on at least ``min_units`` units within ``span_days``.
 * **impossible**: non-finite, or beyond a bound that the caller gives.
 
-Nothing is gathered per source: quantiles come from mergeable sketches; the exact median
-from one counting pass in which only values inside the sketch's bracket keep their
-identity; GPD fits from moments; and the frozen rule works on at most ``min_units``
-units a day in pairs of neighbouring time buckets, so that a value that a third of all
-rows share is as cheap as any other. Readings that are null are none. A null source or
-day takes part in the impossible rule only.
+``found_by`` names the first path that gives a reading: impossible, fit (beyond the fitted
+cutoff, ratio confirmed), plausibility (the same in a cell without a usable cutoff), frozen;
+null for readings beyond the fitted cutoff that the ratio doesn't confirm.
+
+Nothing is gathered per source: all quantiles are exact ones from a sketch and one counting
+pass (``quantiles``); and the frozen rule works on at most ``min_units`` units a day in
+pairs of neighbouring time buckets, so that a value that a third of all rows share is as
+cheap as any other. Readings that are null are none. A null source takes part in the
+impossible rule only, a null day in all but the frozen rule.
 """
 
 from __future__ import annotations
@@ -30,6 +37,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.quantiles import quantiles
+
 GROUP = ["source", "field"]
 #: Half width of the bracket around the median; the sketch's error is 1 / ACCURACY.
 BRACKET, ACCURACY = 0.002, 10_000
@@ -37,7 +46,7 @@ BRACKET, ACCURACY = 0.002, 10_000
 
 @dataclass(frozen=True)
 class Rules:
-    tail: float = 0.98
+    tail: float = 0.9
     risk: float = 1e-4
     max_ratio: float = 100.0
     min_units: int = 6
@@ -64,34 +73,48 @@ def exact_medians(readings: DataFrame) -> DataFrame:
     return mid.select(*GROUP, "n", ((F.col("_a") + F.col("_z")) / 2).alias("median"))
 
 
-def tail_cutoffs(readings: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """(source, field, month, centre) with the upper and lower cutoffs of residuals.
+#: Error variance of the shape per excess in its last quarter, over the variance that shapes have among sources.
+SHRINK, MOST_SHAPE = 80, 0.5
 
-    ``upper`` and ``lower`` are distances of log10 magnitude from ``centre``.
-    """
-    m = _measured(readings).where(F.col("day").isNotNull()).select(*GROUP, F.month("day").alias("month"), F.log10("mag").alias("lg"))
-    season = m.groupBy(*GROUP, "month").agg(F.percentile_approx("lg", 0.5, 1000).alias("centre"))
-    res = m.join(season, [*GROUP, "month"]).withColumn("r", F.col("lg") - F.col("centre")).select(*GROUP, "r")
-    u = res.groupBy(*GROUP).agg(F.percentile_approx("r", [1 - rules.tail, rules.tail], ACCURACY).alias("_u"))
-    over, under = F.col("r") - F.col("_u")[1], F.col("_u")[0] - F.col("r")
-    part = lambda e: [F.count(F.when(e > 0, e)), F.avg(F.when(e > 0, e)), F.var_pop(F.when(e > 0, e))]
-    fit = res.join(u, GROUP).groupBy(*GROUP).agg(
-        F.first("_u").alias("_u"), F.count(F.lit(1)).alias("n"),
-        *[c.alias(f"up_{k}") for k, c in zip("nmv", part(over), strict=True)],
-        *[c.alias(f"low_{k}") for k, c in zip("nmv", part(under), strict=True)],
-    )
 
-    def cutoff(side: str, start: Column) -> Column:
-        k, mean, var = F.col(f"{side}_n"), F.col(f"{side}_m"), F.col(f"{side}_v")
-        g = mean * mean / F.when(var > 0, var)
-        xi, sigma = 0.5 * (1 - g), 0.5 * mean * (g + 1)
-        q = F.lit(rules.risk) * F.col("n") / k
-        reach = F.when(F.abs(xi) < 1e-6, -sigma * F.log(q)).otherwise(sigma / xi * (F.pow(q, -xi) - 1))
-        return F.when((k >= 10) & (var > 0), start + F.greatest(reach, F.lit(0.0)))
+def _season() -> Column:
+    return F.coalesce(F.month("day"), F.lit(0)).alias("month")
+
 
-    limit = F.lit(math.log10(rules.max_ratio))
-    fit = fit.select(*GROUP, F.least(cutoff("up", F.col("_u")[1]), limit).alias("upper"), F.least(cutoff("low", -F.col("_u")[0]), limit).alias("lower"))
-    return season.join(fit, GROUP)
+def _reach(start: Column, half: Column, quarter: Column, n: Column, rules: Rules) -> Column:
+    """Distance of the cutoff from the centre, from the residuals that p, p / 2 and p / 4 of the readings pass; null without a tail."""
+    p = 1 - rules.tail
+    first, second, k = half - start, quarter - half, n * (p / 4)
+    shape = F.log2(second / F.when(first > 0, first)) * k / (k + SHRINK)
+    xi = F.greatest(F.lit(-MOST_SHAPE), F.least(F.lit(MOST_SHAPE), shape))
+    y = rules.risk / p
+    flat = -first / math.log(2) * math.log(y)
+    curved = first / (F.pow(F.lit(2.0), xi) - 1) * (F.pow(F.lit(y), -xi) - 1)
+    return F.when((first > 0) & (second > 0), start + F.when(F.abs(xi) < 1e-6, flat).otherwise(curved))
+
+
+def tail_cutoffs(readings: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """(source, field, month, centre, upper, lower, median, top, bottom, top_by, bottom_by): one row per cell.
+
+    ``upper`` and ``lower`` are the fitted distances of log10 magnitude from ``centre``;
+    readings beyond ``top`` or below ``bottom`` are looked at, ``*_by`` says whether these
+    come from the fit or from the plausibility bound.
+    """
+    p = 1 - rules.tail
+    m = _measured(readings).select(*GROUP, _season(), F.log10("mag").alias("lg"))
+    season = quantiles(m, [*GROUP, "month"], "lg", [0.5], "_c").select(*GROUP, "month", F.col("_c")[0].alias("centre"))
+    res = m.join(season, [*GROUP, "month"]).select(*GROUP, (F.col("lg") - F.col("centre")).alias("r"))
+    q = quantiles(res, GROUP, "r", [p / 4, p / 2, p, 1 - p, 1 - p / 2, 1 - p / 4], "_q")
+    at = lambda i: F.col("_q")[i]
+    fit = q.select(*GROUP, _reach(at(3), at(4), at(5), F.col("n"), rules).alias("upper"), _reach(-at(2), -at(1), -at(0), F.col("n"), rules).alias("lower"))
+    cells = season.join(fit, GROUP).join(exact_medians(readings).drop("n"), GROUP)
+    centre, limit = F.col("centre"), math.log10(rules.max_ratio) - 1e-9
+    high, low = F.log10("median") + limit, F.log10("median") - limit
+    by = lambda seen: F.when(seen, F.lit("fit")).otherwise(F.lit("plausibility"))
+    return cells.withColumns({
+        "top": F.least(centre + F.col("upper"), high), "top_by": by(centre + F.col("upper") <= high),
+        "bottom": F.greatest(centre - F.col("lower"), low), "bottom_by": by(centre - F.col("lower") >= low),
+    })
 
 
 def frozen(readings: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -116,7 +139,7 @@ def frozen(readings: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def flag(readings: DataFrame, id_cols: list[str], rules: Rules = Rules(), low_fields: tuple[str, ...] = ()) -> DataFrame:
-    """Every reading that breaks a rule, with the booleans impossible, tail, ratio, frozen.
+    """Every reading that breaks a rule: impossible, tail, ratio, frozen (booleans) and found_by.
 
     ``readings`` has source, field, value, day, unit, ``id_cols`` and optionally a boolean
     ``out_of_bounds``. ``low_fields`` are those whose readings may also be too small.
@@ -125,18 +148,19 @@ def flag(readings: DataFrame, id_cols: list[str], rules: Rules = Rules(), low_fi
     small = F.col("field").isin(*low_fields) if low_fields else F.lit(False)
     finite_nonzero = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")) & (v != 0)
     lg = F.log10(F.when(finite_nonzero, F.abs(v)))
-    ratio = finite_nonzero & ((F.abs(v) > rules.max_ratio * F.col("median")) | (small & (F.abs(v) < F.col("median") / rules.max_ratio)))
+    above = (lg > F.col("top")) & (F.abs(v) > rules.max_ratio * F.col("median"))
+    below = small & (lg < F.col("bottom")) & (F.abs(v) < F.col("median") / rules.max_ratio)
     tail = (lg - F.col("centre") > F.col("upper")) | (small & (F.col("centre") - lg > F.col("lower")))
     stuck = frozen(readings, rules).withColumn("_stuck", F.lit(True))
+    sure = lambda c: F.coalesce(c, F.lit(False))
     out = (
         readings.where(v.isNotNull())
-        .withColumn("month", F.month("day"))
-        .join(exact_medians(readings).drop("n"), GROUP, "left")
+        .withColumn("month", _season())
         .join(tail_cutoffs(readings, rules), [*GROUP, "month"], "left")
         .join(stuck, [*GROUP, "value", "day"], "left")
-        .withColumn("impossible", F.coalesce(bad, F.lit(False)) | F.isnan(v) | (F.abs(v) == float("inf")))
-        .withColumn("ratio", F.coalesce(ratio, F.lit(False)))
-        .withColumn("tail", F.coalesce(tail, F.lit(False)) | F.col("ratio"))
-        .withColumn("frozen", F.coalesce(F.col("_stuck"), F.lit(False)))
+        .withColumns({"impossible": sure(bad) | F.isnan(v) | (F.abs(v) == float("inf")), "tail": sure(tail), "frozen": sure(F.col("_stuck"))})
+        .withColumn("_ratio_by", F.when(above, F.col("top_by")).when(below, F.col("bottom_by")))
+        .withColumn("ratio", F.col("_ratio_by").isNotNull())
+        .withColumn("found_by", F.when(F.col("impossible"), "impossible").otherwise(F.coalesce("_ratio_by", F.when(F.col("frozen"), F.lit("frozen")))))
     )
-    return out.where(F.col("impossible") | F.col("tail") | F.col("frozen")).select(*id_cols, *GROUP, "value", "day", "impossible", "tail", "ratio", "frozen")
+    return out.where(F.col("tail") | F.col("found_by").isNotNull()).select(*id_cols, *GROUP, "value", "day", "impossible", "tail", "ratio", "frozen", "found_by")

@@ -124,13 +124,15 @@ def _flags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    # tail includes every ratio reading, so the ratio rule alone decides here
-    hit = F.col("impossible") | (F.col("tail") & F.col("ratio")) | F.col("frozen")
-    return _flags(spark, d).where(hit).select("contract_transaction_unique_key", "field")
+    return _flags(spark, d).where(F.col("found_by").isNotNull()).select("contract_transaction_unique_key", "field")
 
 
 def p5_flags(spark: SparkSession, d: str) -> DataFrame:
-    return _flags(spark, d)
+    return _flags(spark, d).drop("value")
+
+
+def p5_paths(spark: SparkSession, d: str) -> DataFrame:
+    return _flags(spark, d).groupBy("field", "found_by").agg(F.count("*").alias("n"), F.count_if("tail").alias("beyond_fit"), F.count_if("ratio").alias("beyond_ratio"))
 
 
 def p5_source_medians(spark: SparkSession, d: str) -> DataFrame:
@@ -141,6 +143,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_typed_rows, p1_reasons_by_file, p3_found, p3_known_attributes, p4_found, p4_award_results, p4_ticker_results, p4_row_shares,
-        p5_found, p5_flags, p5_source_medians,
+        p5_found, p5_flags, p5_paths, p5_source_medians,
     )
 }

@@ -51,6 +51,44 @@ WITH readings AS (
 measured AS (SELECT * FROM readings WHERE source IS NOT NULL AND isfinite(value) AND value <> 0),
 medians AS (SELECT source, field, count(*) AS n, median(abs(value)) AS median FROM measured GROUP BY ALL)
 """
+_JUDGED = _READINGS + """
+, frozen AS (
+  SELECT DISTINCT c.source, c.field, c.value, c.day FROM (SELECT DISTINCT source, field, value, day FROM measured) c
+  JOIN (SELECT s.source, s.field, s.value, s.day FROM (SELECT DISTINCT source, field, value, day FROM measured) s
+    JOIN measured e ON s.source = e.source AND s.field = e.field AND s.value = e.value AND e.day >= s.day AND e.day <= s.day + 30
+    GROUP BY ALL HAVING count(DISTINCT e.unit) >= 6) w
+  ON c.source = w.source AND c.field = w.field AND c.value = w.value AND c.day >= w.day AND c.day <= w.day + 30),
+judged AS (SELECT readings.*, median, isnan(value) OR isinf(value) OR (field = 'potential_total_value_of_award' AND value < 0)
+  OR (field = 'relative_ceiling_change' AND value < -1)
+  OR (field = 'ceiling_change' AND EXISTS (SELECT 1 FROM raw_filtered_awards r
+    WHERE r.contract_transaction_unique_key = readings.contract_transaction_unique_key AND -value > r.prev_potential_value)) AS impossible,
+  coalesce(isfinite(value) AND (abs(value) > 100 * median OR (field = 'potential_total_value_of_award' AND value <> 0 AND abs(value) < median / 100)), FALSE) AS ratio,
+  EXISTS (SELECT 1 FROM frozen f WHERE f.source = readings.source AND f.field = readings.field AND f.value = readings.value AND f.day = readings.day) AS frozen
+  FROM readings LEFT JOIN medians USING (source, field) WHERE value IS NOT NULL)
+"""
+
+
+def _reach(start: str, half: str, quarter: str) -> str:
+    """Cutoff of a generalised Pareto tail fitted by quantiles of its excesses: shape by Pickands, drawn towards 0; risk 1e-4 beyond a tenth."""
+    xi = f"greatest(-0.5, least(0.5, log2(({quarter} - {half}) / ({half} - {start})) * (n * 0.025) / (n * 0.025 + 80)))"
+    curved = f"({half} - {start}) / (pow(2, {xi}) - 1) * (pow(0.001, -{xi}) - 1)"
+    return f"CASE WHEN {half} > {start} AND {quarter} > {half} THEN {start} + CASE WHEN abs({xi}) < 1e-6 THEN -({half} - {start}) / ln(2) * ln(0.001) ELSE {curved} END END"
+
+
+_FLAGS = f"""
+, logs AS (SELECT source, field, coalesce(month(day), 0) AS month, log10(abs(value)) AS lg FROM measured),
+season AS (SELECT source, field, month, quantile_cont(lg, 0.5) AS centre FROM logs GROUP BY ALL),
+spread AS (SELECT source, field, count(*) AS n, quantile_cont(lg - centre, [0.025, 0.05, 0.1, 0.9, 0.95, 0.975]) AS q FROM logs JOIN season USING (source, field, month) GROUP BY ALL),
+fit AS (SELECT source, field, {_reach("q[4]", "q[5]", "q[6]")} AS upper, {_reach("-q[3]", "-q[2]", "-q[1]")} AS lower FROM spread),
+cells AS (SELECT *, centre + upper <= log10(median) + 2 - 1e-9 AS high_fit, centre - lower >= log10(median) - 2 + 1e-9 AS low_fit
+  FROM season JOIN fit USING (source, field) JOIN medians USING (source, field)),
+marked AS (SELECT j.*, c.high_fit, c.low_fit, coalesce(isfinite(value) AND value <> 0 AND (log10(nullif(abs(value), 0)) - centre > upper
+    OR (j.field = 'potential_total_value_of_award' AND centre - log10(nullif(abs(value), 0)) > lower)), FALSE) AS tail
+  FROM judged j LEFT JOIN cells c ON j.source = c.source AND j.field = c.field AND coalesce(month(j.day), 0) = c.month),
+flags AS (SELECT contract_transaction_unique_key, source, field, day, impossible, tail, ratio, frozen, CASE WHEN impossible THEN 'impossible'
+    WHEN ratio THEN CASE WHEN CASE WHEN abs(value) > median THEN high_fit ELSE low_fit END THEN 'fit' ELSE 'plausibility' END WHEN frozen THEN 'frozen' END AS found_by
+  FROM marked WHERE tail OR impossible OR ratio OR frozen)
+"""
 
 SQL = {
     "p1_found": _FIELDS + "SELECT record_id, reason FROM judged WHERE reason IS NOT NULL",
@@ -76,19 +114,8 @@ FROM enriched_awards WHERE ticker IS NOT NULL GROUP BY ALL""",
 SELECT contract_transaction_unique_key, ingested_at, award_id_piid,
   round(total_dollars_obligated / nullif(max(total_dollars_obligated) OVER (PARTITION BY award_id_piid), 0), 6) AS share_of_highest
 FROM raw_filtered_awards""",
-    "p5_found": _READINGS + """
-, frozen AS (
-  SELECT DISTINCT c.source, c.field, c.value, c.day FROM (SELECT DISTINCT source, field, value, day FROM measured) c
-  JOIN (SELECT s.source, s.field, s.value, s.day FROM (SELECT DISTINCT source, field, value, day FROM measured) s
-    JOIN measured e ON s.source = e.source AND s.field = e.field AND s.value = e.value AND e.day >= s.day AND e.day <= s.day + 30
-    GROUP BY ALL HAVING count(DISTINCT e.unit) >= 6) w
-  ON c.source = w.source AND c.field = w.field AND c.value = w.value AND c.day >= w.day AND c.day <= w.day + 30)
-SELECT contract_transaction_unique_key, field FROM readings LEFT JOIN medians USING (source, field)
-WHERE value IS NOT NULL AND (isnan(value) OR isinf(value) OR (field = 'potential_total_value_of_award' AND value < 0)
-  OR (field = 'relative_ceiling_change' AND value < -1)
-  OR (field = 'ceiling_change' AND EXISTS (SELECT 1 FROM raw_filtered_awards r
-    WHERE r.contract_transaction_unique_key = readings.contract_transaction_unique_key AND -value > r.prev_potential_value))
-  OR abs(value) > 100 * median OR (field = 'potential_total_value_of_award' AND value <> 0 AND abs(value) < median / 100)
-  OR EXISTS (SELECT 1 FROM frozen f WHERE f.source = readings.source AND f.field = readings.field AND f.value = readings.value AND f.day = readings.day))""",
+    "p5_found": _JUDGED + "SELECT contract_transaction_unique_key, field FROM judged WHERE impossible OR ratio OR frozen",
+    "p5_flags": _JUDGED + _FLAGS + "SELECT * FROM flags",
+    "p5_paths": _JUDGED + _FLAGS + "SELECT field, found_by, count(*) AS n, count(*) FILTER (tail) AS beyond_fit, count(*) FILTER (ratio) AS beyond_ratio FROM flags GROUP BY ALL",
     "p5_source_medians": _READINGS + "SELECT source, field, n, median FROM medians",
 }
