@@ -1,5 +1,6 @@
 import csv
 import io
+import os
 import random
 import re
 from datetime import date
@@ -88,3 +89,16 @@ def test_empty_and_repeated(spark):
     assert good.count() == bad.count() == 0
     twice = spark.createDataFrame([("bad",), ("bad",)], "raw string")
     assert b.split_records(twice, "raw", SCHEMA, CHECKS)[1].count() == 2
+
+
+def test_a_schema_of_any_width(spark):
+    """No bound on the number of fields: a good record is usable and whole.
+
+    With TIDEMARK_SLOW set it has 20,001 fields, which takes Spark's analysis three minutes.
+    """
+    n = 20_001 if os.environ.get("TIDEMARK_SLOW") else 2_001
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(n)])
+    rows = [(1, ",".join(f"v{i}" for i in range(n))), (2, ",".join("x" * (n + 1))), (3, '"' + ",".join("x" * n)), (4, ",".join(['"a,b"'] * n))]
+    df = spark.createDataFrame(rows, "id int, raw string")
+    got = b.parse_records(df, "raw", schema, {}).select("id", "reason", "row.c0", f"row.c{n - 1}").collect()
+    assert [tuple(r) for r in got] == [(1, None, "v0", f"v{n - 1}"), (2, "column_count", None, None), (3, "quoting", None, None), (4, None, "a,b", "a,b")]

@@ -27,8 +27,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 QUOTING, COLUMN_COUNT, INVALID_VALUE = "quoting", "column_count", "invalid_value"
-#: Records with more fields than this are never handed to the CSV parser, which sizes buffers by it.
-MAX_FIELDS = 20_000
 
 
 def _without_terminator(raw: Column) -> Column:
@@ -105,23 +103,25 @@ def parse_records(
     text_schema = ", ".join(f"{x} string" for x in names) + f", {corrupt} string"
     options = {
         "mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt, "quote": '"', "escape": '"', "multiLine": "true",
-        "maxColumns": str(MAX_FIELDS + 1), "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+        "maxColumns": str(n + 1), "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
     }
     body = _without_terminator(F.col(raw))
-    df = df.withColumn("__tm_body", body).withColumn("__tm_n", field_count(F.col("__tm_body")))
-    # a lone empty record is no line for the parser, and huge ones exceed its buffers; both are column_count anyway
-    readable = (F.col("__tm_n") <= MAX_FIELDS) & (F.col("__tm_body") != "")
-    df = df.withColumn("__tm_text", F.from_csv(F.when(readable, F.col("__tm_body")), text_schema, options))
+    df = df.withColumn("__tm_body", body)
+    shape = (
+        F.when(F.col("__tm_body").isNull() | (F.col("__tm_body") == ""), F.lit(COLUMN_COUNT))
+        .when(~quoting_ok(F.col("__tm_body")), F.lit(QUOTING)).when(field_count(F.col("__tm_body")) != n, F.lit(COLUMN_COUNT))
+    )
+    df = df.withColumn("__tm_shape", shape)
+    # only records of the right shape are parsed, so the parser's buffers need no more columns than the schema has
+    df = df.withColumn("__tm_text", F.from_csv(F.when(F.col("__tm_shape").isNull(), F.col("__tm_body")), text_schema, options))
     field = {f.name: F.col(f"__tm_text.{x}") for f, x in zip(schema, names, strict=True)}
     bad_value = F.lit(False)
     for name, usable in checks.items():
         bad_value = bad_value | ~usable(field[name])
     why = (
-        F.when(F.col(raw).isNull() | (F.col("__tm_body") == ""), F.lit(COLUMN_COUNT))
-        .when(~quoting_ok(F.col("__tm_body")), F.lit(QUOTING))
-        .when((F.col("__tm_n") != n) | F.col(f"__tm_text.{corrupt}").isNotNull(), F.lit(COLUMN_COUNT))
-        .when(bad_value, F.lit(INVALID_VALUE))
-    )
+        F.when(F.col("__tm_shape").isNotNull(), F.col("__tm_shape"))
+        .when(F.col(f"__tm_text.{corrupt}").isNotNull(), F.lit(COLUMN_COUNT)).when(bad_value, F.lit(INVALID_VALUE))
+    )
 
     def cast(f: T.StructField) -> Column:
         c = field[f.name]
@@ -134,7 +134,7 @@ def parse_records(
         return F.trim(c).try_cast(f.dataType)
 
     row = F.struct(*[cast(f).alias(f.name) for f in schema])
-    return df.withColumn(reason, why).withColumn(typed, F.when(F.col(reason).isNull(), row)).drop("__tm_body", "__tm_n", "__tm_text")
+    return df.withColumn(reason, why).withColumn(typed, F.when(F.col(reason).isNull(), row)).drop("__tm_body", "__tm_shape", "__tm_text")
 
 
 def split_records(df: DataFrame, raw: str, schema: T.StructType, checks: Mapping[str, Callable[[Column], Column]]) -> tuple[DataFrame, DataFrame]:

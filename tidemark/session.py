@@ -39,11 +39,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Give this package to the Python workers of the session, once per context.
+def ship(spark: SparkSession | None = None) -> None:
+    """Give this package to the Python workers of the session (or of the active one), once per context.
 
     Spark copies the archive to every executor, so nothing has to be installed there.
+    Every function that builds a Python operator calls this.
     """
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None:
+        return
     sc = spark.sparkContext
     if getattr(sc, "_tidemark_shipped", False):
         return
