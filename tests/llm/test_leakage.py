@@ -70,13 +70,16 @@ DOCS = {
 }
 
 
+def items(spark, rows, least=15):
+    return k.read_items(spark.createDataFrame(rows, "item_id long, text string"), "item_id", "text", least)
+
+
 @pytest.fixture(scope="module")
 def found(spark):
     rows = [(d, t, "clash") for d, t in DOCS.items()]
     docs = spark.createDataFrame([*rows, (14, " ".join(["pad"] * 300000) + " " + ITEM, "")], "doc_id long, text string, words string").repartition(3)
-    items = k.read_items([(100, ITEM), (200, OTHER), (300, "too short"), (400, None)], 15)
-    index = k.build_index(docs, "doc_id", "text", items.vocabulary)
-    return sorted(tuple(r) for r in k.search(index, items, k.term_counts(index)).collect())
+    index = k.build_index(docs, "doc_id", "text")
+    return sorted(tuple(r) for r in k.search(index, items(spark, [(100, ITEM), (200, OTHER), (300, "too short"), (400, None)])).collect())
 
 
 def test_matches(found):
@@ -87,28 +90,40 @@ def test_matches(found):
     assert len(found) == len(kinds)
 
 
-def test_random_documents_against_all_passages(spark):
+@pytest.mark.parametrize("least, per", [(15, 6), (12, 4), (10, 5), (6, 3), (8, 2), (5, 9)])
+def test_random_documents_against_all_passages(spark, least, per):
+    """The phrase size follows from the parameters, so none of them loses a passage; shards and packs are small here."""
     rng = random.Random(7)
-    items = [(i, " ".join(rng.choice("abcdefgh") + str(rng.randint(0, 9)) for _ in range(24))) for i in range(4)]
+    texts = [(i, " ".join(rng.choice("abcdefgh") + str(rng.randint(0, 9)) for _ in range(24))) for i in range(4)]
     docs = []
-    for d in range(60):
-        w = rng.choice(items)[1].split()[rng.randint(0, 6) :]
+    for d in range(50):
+        w = rng.choice(texts)[1].split()[rng.randint(0, 6) :]
         for _ in range(rng.randint(0, 7)):
             at = rng.randrange(len(w))
             w[at : at + rng.choice([0, 1, 1])] = rng.choice([[], ["q"], ["q", "r"]])
         docs.append((d, " ".join(["pre"] * rng.randint(0, 4) + w)))
-    read = k.read_items(items, 15)
-    index = k.build_index(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", read.vocabulary)
-    got = {(r.doc_id, r.item) for r in k.search(index, read, k.term_counts(index)).collect()}
-    want = {(d, i) for d, t in docs for i, text in items if slow(text.split(), t.split(), 15, 6)}
+    index = k.build_index(spark.createDataFrame(docs, "doc_id long, text string").repartition(2), "doc_id", "text", shard_words=150)
+    got = {(r.doc_id, r.item) for r in k.search(index, items(spark, texts, least), least, per, pack_words=30).collect()}
+    want = {(d, i) for d, t in docs for i, text in texts if slow(text.split(), t.split(), least, per)}
     assert got == want and want
 
 
+def test_phrase_sizes():
+    assert k.phrase_size(15, 6) == (4, 3) and k.phrase_size(12, 4)[0] == 2
+    with pytest.raises(ValueError):
+        k.phrase_size(15, 1)
+
+
+def test_an_index_of_all_words_serves_any_items(spark):
+    index = k.build_index(spark.createDataFrame([(1, ITEM), (2, OTHER)], "doc_id long, text string").coalesce(1), "doc_id", "text")
+    assert [tuple(r)[:2] for r in k.search(index, items(spark, [(7, OTHER)])).collect()] == [(2, 7)]
+    assert [tuple(r)[:2] for r in k.search(index, items(spark, [(8, ITEM)])).collect()] == [(1, 8)]
+    row = index.collect()[0]
+    assert list(row.terms) == sorted(set((ITEM + " " + OTHER).split()))
+
+
 def test_empty_sides(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
-    items = k.read_items([(1, ITEM)], 15)
-    index = k.build_index(docs, "doc_id", "text", items.vocabulary)
-    assert k.search(index, items, k.term_counts(index)).count() == 0
-    none = k.read_items([], 15)
-    some = k.build_index(spark.createDataFrame([(1, ITEM)], "doc_id long, text string"), "doc_id", "text", none.vocabulary)
-    assert k.search(some, none, k.term_counts(some)).count() == 0
+    assert k.search(k.build_index(docs, "doc_id", "text"), items(spark, [(1, ITEM)])).count() == 0
+    some = k.build_index(spark.createDataFrame([(1, ITEM)], "doc_id long, text string"), "doc_id", "text")
+    assert k.search(some, items(spark, [])).count() == 0

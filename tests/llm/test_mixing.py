@@ -68,6 +68,18 @@ def test_seeded_and_sharded(spark, docs):
     assert abs(sum(r.n_tokens for r in many) / whole - 0.2) < 0.03
 
 
+def test_two_levels_of_shards(spark, docs):
+    """Many shards in groups: every shard gets its share of blocks, no document more copies than allowed."""
+    targets = mix("one", [("alpha", 0.7, 2), ("beta_x", 0.3, 1)], 0.6)
+    p = m.plan(docs, targets, block_tokens=256, shard_tokens=9_000)
+    groups, shards = p.shards.select("source", "group").distinct().count(), p.shards.count()
+    assert shards > 30 and groups < 2 * shards**0.5 + 2
+    drawn = m.draw(docs, targets, block_tokens=256, shard_tokens=9_000).collect()
+    whole = sum(r.n_tokens or 0 for r in docs.collect())
+    got = {s: sum(r.copies * r.n_tokens for r in drawn if r.source == s) / whole for s in ("alpha", "beta_x")}
+    assert abs(got["alpha"] - 0.42) < 0.05 and all(r.copies <= (2 if r.source == "alpha" else 1) for r in drawn)
+
+
 def test_empty(spark, docs):
     assert m.draw(docs.limit(0), mix("x", [("alpha", 1.0, 1)], 0.5)).count() == 0
     assert m.draw(docs, []).count() == 0

@@ -11,8 +11,9 @@ A shard is a hash class of documents small enough for one task; its documents st
 seeded order and are cut into blocks by running token sums, a document belonging to the
 block that holds its middle. A quota of q blocks of c gives every document q // c copies
 and one more to the documents of q % c consecutive blocks from a seeded place, which in a
-shuffled order is a random selection of blocks. Only per-shard sums (at most ``MAX_SHARDS``
-per source of a mix) reach the driver; documents are never gathered.
+shuffled order is a random selection of blocks. Shards are apportioned in two levels: the
+driver sees sums of groups of about the square root of a source's shards, and each group
+is apportioned to its shards in a task of its own, so the number of shards has no bound.
 
 Documents without tokens, without id or of a source outside of the mix are not drawn, but
 all tokens count for the size of the corpus. Sources without documents get nothing.
@@ -23,14 +24,17 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.materialize import stored
+
 BLOCK_TOKENS = 1024
 SHARD_TOKENS = 50_000_000
-MAX_SHARDS = 4096
 
 
 def normal_source(c: Column) -> Column:
@@ -66,14 +70,17 @@ def sainte_lague(weights: Sequence[float], seats: int, caps: Sequence[int]) -> l
     return alloc
 
 
-def draw(docs: DataFrame, targets: Sequence[Mapping], seed: int = 17, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """(mix_name, doc_id, source, n_tokens, copies) of the drawn documents.
+@dataclass(frozen=True)
+class Plan:
+    """Documents placed in shards, the shards' blocks, and the blocks that each group of shards of a mix's source gets."""
 
-    ``docs`` has doc_id, source, n_tokens and should be stored: it is read three times.
-    ``targets`` are the rows of the mixes (a bounded table): mix_name, source,
-    target_share, max_repeats, corpus_fraction.
-    """
-    spark = docs.sparkSession
+    placed: DataFrame
+    shards: DataFrame
+    quotas: list[tuple]
+
+
+def plan(docs: DataFrame, targets: Sequence[Mapping], seed: int = 17, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS) -> Plan:
+    """Seats of every source of every mix, and of its groups of shards: (mix_name, source, group, quota, max_repeats)."""
     named = [dict(t) for t in targets]
     for t in named:
         t["source"] = (t["source"] or "").strip().lower().replace("-", "_")
@@ -82,39 +89,72 @@ def draw(docs: DataFrame, targets: Sequence[Mapping], seed: int = 17, block_toke
     whole = docs.agg(F.sum("n_tokens")).first()[0] or 0
     usable = docs.where(F.col("source").isin(wanted) & (F.col("n_tokens") > 0) & F.col("doc_id").isNotNull())
     sums = {r[0]: r[1] for r in usable.groupBy("source").agg(F.sum("n_tokens")).collect()}
-    shards = {s: min(MAX_SHARDS, max(1, math.ceil(n / shard_tokens))) for s, n in sums.items()}
-    count = F.lit(1)
-    for s, k in shards.items():
+    count, width = F.lit(1), F.lit(1)
+    for s, n in sums.items():
+        k = max(1, math.ceil(n / shard_tokens))
         count = F.when(F.col("source") == s, F.lit(k)).otherwise(count)
+        width = F.when(F.col("source") == s, F.lit(max(1, math.isqrt(k)))).otherwise(width)
     place = F.xxhash64(F.lit(seed), "doc_id")
     placed = usable.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), count.cast("long")).cast("int")).withColumn("_place", place)
-    held = {(r[0], r[1]): r[2] for r in placed.groupBy("source", "shard").agg(F.sum("n_tokens")).collect()}
-    blocks = {k: max(1, round(n / block_tokens)) for k, n in held.items()}
+    held = placed.groupBy("source", "shard").agg(F.sum("n_tokens").alias("held"))
+    held = held.withColumns({"blocks": F.greatest(F.lit(1), F.round(F.col("held") / block_tokens)).cast("long"), "group": F.floor(F.col("shard") / width).cast("int")})
+    shards = stored(held, "mix-shards")
+    # about the square root of the number of shards
+    groups = {(r[0], r[1]): r[2] for r in shards.groupBy("source", "group").agg(F.sum("blocks")).collect()}
 
     quotas = []
     for mix in sorted({t["mix_name"] for t in named}):
         rows = sorted((t for t in named if t["mix_name"] == mix), key=lambda t: t["source"])
-        own = [[k for k in sorted(held) if k[0] == t["source"]] for t in rows]
-        caps = [t["max_repeats"] * sum(blocks[k] for k in keys) for t, keys in zip(rows, own, strict=True)]
+        own = [[k for k in sorted(groups) if k[0] == t["source"]] for t in rows]
+        caps = [t["max_repeats"] * sum(groups[k] for k in keys) for t, keys in zip(rows, own, strict=True)]
         seats = round(rows[0]["corpus_fraction"] * whole / block_tokens)
         for t, keys, q in zip(rows, own, sainte_lague([t["target_share"] for t in rows], seats, caps), strict=True):
-            parts = sainte_lague([blocks[k] for k in keys], q, [t["max_repeats"] * blocks[k] for k in keys])
-            for k, part in zip(keys, parts, strict=True):
-                if part:
-                    first = hash((seed, len(quotas), k[1])) % blocks[k]
-                    quotas.append((mix, *k, part, blocks[k], held[k] / blocks[k], first))
-    table = spark.createDataFrame(quotas, "mix_name string, source string, shard int, quota long, blocks long, block double, first long")
+            parts = sainte_lague([groups[k] for k in keys], q, [t["max_repeats"] * groups[k] for k in keys])
+            quotas += [(mix, *k, part, t["max_repeats"]) for k, part in zip(keys, parts, strict=True) if part]
+    return Plan(placed, shards, quotas)
+
+
+_SHARD = "mix_name string, source string, shard int, quota long, blocks long, held long"
+
+
+def _apportion(rows: pd.DataFrame) -> pd.DataFrame:
+    """Blocks of one group of one mix to the shards of the group."""
+    rows = rows.sort_values("shard")
+    blocks = rows["blocks"].tolist()
+    parts = sainte_lague(blocks, int(rows["quota"].iloc[0]), [int(m) * b for m, b in zip(rows["max_repeats"], blocks, strict=True)])
+    return rows.assign(quota=parts)[["mix_name", "source", "shard", "quota", "blocks", "held"]]
+
+
+def draw(docs: DataFrame, targets: Sequence[Mapping], seed: int = 17, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """(mix_name, doc_id, source, n_tokens, copies) of the drawn documents.
+
+    ``docs`` has doc_id, source, n_tokens and should be stored: it is read three times.
+    ``targets`` are the rows of the mixes (a bounded table): mix_name, source,
+    target_share, max_repeats, corpus_fraction.
+    """
+    spark = docs.sparkSession
+    p = plan(docs, targets, seed, block_tokens, shard_tokens)
+    wide = spark.createDataFrame(p.quotas, "mix_name string, source string, group int, quota long, max_repeats long")
+    table = p.shards.join(wide, ["source", "group"]).groupBy("mix_name", "source", "group").applyInPandas(_apportion, _SHARD).where("quota > 0")
+    table = table.withColumn("first", F.pmod(F.xxhash64(F.lit(seed + 2), "mix_name", "source", "shard"), F.col("blocks")))
 
     before = F.sum("n_tokens").over(Window.partitionBy("source", "shard").orderBy("_place", "doc_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens") / 2
-    ordered = placed.withColumn("_middle", before)
-    # at most mixes * sources * MAX_SHARDS rows
-    joined = ordered.join(F.broadcast(table), ["source", "shard"])
-    at = F.least(F.floor(F.col("_middle") / F.col("block")), F.col("blocks") - 1)
+    # a row per mix and shard; by the keys of the window, so documents are shuffled once
+    joined = p.placed.withColumn("_middle", before).join(table, ["source", "shard"])
+    at = F.least(F.floor(F.col("_middle") / (F.col("held") / F.col("blocks"))), F.col("blocks") - 1)
     ring = F.pmod(at - F.col("first"), F.col("blocks"))
     copies = F.floor(F.col("quota") / F.col("blocks")) + F.when(ring < F.col("quota") % F.col("blocks"), 1).otherwise(0)
     return joined.select("mix_name", "doc_id", "source", "n_tokens", copies.cast("int").alias("copies")).where("copies > 0")
 
 
+def source_seats(p: Plan) -> list[tuple]:
+    """(mix_name, source, blocks) of sources that get any."""
+    seats: dict[tuple, int] = {}
+    for mix, source, _, quota, _ in p.quotas:
+        seats[mix, source] = seats.get((mix, source), 0) + quota
+    return [(*k, n) for k, n in sorted(seats.items())]
+
+
 def shares(drawn: DataFrame, targets: DataFrame) -> DataFrame:
     """Per mix and source: target, documents, copies, tokens and the share really reached."""
     key = ["mix_name", "source"]

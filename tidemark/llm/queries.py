@@ -9,6 +9,7 @@ from tidemark.llm import leakage, mixing, name_variants, nearest_time, splitting
 from tidemark.llm.sql import SQL as SQL
 from tidemark.llm.tokens import count_tokens
 from tidemark.materialize import stored
+from tidemark.plans.event_tables import kept
 from tidemark.session import table
 
 KEY = "contract_transaction_unique_key"
@@ -38,10 +39,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "eval_items").select("item_id", "text").collect()  # the evaluation side, bounded in the operator
-    items = leakage.read_items([(r[0], r[1]) for r in rows], 15)
-    index = stored(leakage.build_index(table(spark, d, "documents"), "doc_id", "text", items.vocabulary), "positional-index")
-    return leakage.search(index, items, leakage.term_counts(index), 15, 6)
+    index = kept(spark, d, "positional-index", lambda: leakage.build_index(table(spark, d, "documents"), "doc_id", "text"))
+    return leakage.search(index, leakage.read_items(table(spark, d, "eval_items"), "item_id", "text", 15), 15, 6)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -62,6 +61,14 @@ def p8_draws(spark: SparkSession, d: str) -> DataFrame:
     return _draws(spark, d)
 
 
+def p8_source_seats(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of 4,096 characters that each source of each mix gets: the apportionment alone, on sizes that SQL knows."""
+    docs = table(spark, d, "documents").select("doc_id", "source", F.col("n_chars").alias("n_tokens"))
+    targets = [t.asDict() for t in table(spark, d, "mix_targets").collect()]
+    seats = mixing.source_seats(mixing.plan(docs, targets, block_tokens=4096, shard_tokens=1 << 60))
+    return spark.createDataFrame(seats, "mix_name string, source string, blocks long")
+
+
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(_draws(spark, d), table(spark, d, "mix_targets"))
 
@@ -74,4 +81,4 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split(table(spark, d, "documents").select("doc_id", "text"), "text")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_classes, p6_found, p7_found, p7_matches, p8_draws, p8_shares, p9_found, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_classes, p6_found, p7_found, p7_matches, p8_draws, p8_source_seats, p8_shares, p9_found, p9_pieces)}

@@ -7,4 +7,13 @@ b AS (SELECT DISTINCT ticker, date FROM cache_returns)
 SELECT contract_transaction_unique_key, a.ticker,
   strftime(first(b.date ORDER BY abs(date_diff('day', b.date, a.action_date)), b.date), '%Y-%m-%d') AS bar_date
 FROM a JOIN b ON a.ticker = b.ticker AND abs(date_diff('day', b.date, a.action_date)) <= 5 GROUP BY contract_transaction_unique_key, a.ticker, a.action_date""",
+    "p8_source_seats": """
+WITH d AS (SELECT replace(lower(trim(source)), '-', '_') AS source, n_chars FROM documents),
+whole AS (SELECT sum(n_chars) AS n FROM d),
+blocks AS (SELECT source, greatest(1, round(sum(n_chars) / 4096)) AS b FROM d WHERE n_chars > 0 AND source IS NOT NULL GROUP BY 1),
+t AS (SELECT mix_name, replace(lower(trim(source)), '-', '_') AS source, target_share, max_repeats, corpus_fraction FROM mix_targets),
+quotients AS (SELECT mix_name, source, target_share / (2 * k + 1) AS q, round(corpus_fraction * n / 4096) AS seats
+  FROM t JOIN blocks USING (source), whole, LATERAL (SELECT unnest(generate_series(0, CAST(max_repeats * b AS BIGINT) - 1)) AS k) WHERE target_share > 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY mix_name ORDER BY q DESC, source) AS place FROM quotients)
+SELECT mix_name, source, count(*) AS blocks FROM ranked WHERE place <= seats GROUP BY ALL""",
 }
