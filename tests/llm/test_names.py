@@ -18,23 +18,33 @@ def edits(a, b):
     return prev[-1]
 
 
-@pytest.mark.parametrize("k", [1, 2, 3])
-def test_segment_join_finds_all_near_words(spark, k):
-    rng = random.Random(k)
-    base = ["".join(rng.choice("abc") for _ in range(rng.randint(5, 11))) for _ in range(60)]
+def is_typing_error(a, b):
+    e, both = edits(a, b), min(len(a), len(b))
+    return both >= 5 and (e <= 1 or e == 2 and (both >= 8 or sorted(a) == sorted(b)))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_segment_join_finds_all_near_forms(spark, seed):
+    rng = random.Random(seed)
+    base = ["".join(rng.choice("abc") for _ in range(rng.randint(3, 12))) for _ in range(60)]
     words = set(base)
     for w in base:
         for _ in range(3):
             x = list(w)
-            for _ in range(rng.randint(1, k + 1)):
-                at = rng.randrange(len(x))
+            for _ in range(rng.randint(1, 3)):
+                at = rng.randrange(len(x)) if x else 0
                 x[at : at + rng.choice([0, 1, 1])] = rng.choice(["", "a", "b", "ab"])
             words.add("".join(x))
+            at = rng.randrange(len(w) - 1)
+            words.add(w[:at] + w[at + 1] + w[at] + w[at + 2 :])
     words = sorted(words)
-    got = {(r.a, r.b): r.edits for r in nv.near_words(spark.createDataFrame([(w,) for w in words] + [(None,), (words[0],)], "w string"), "w", k).collect()}
-    long = [w for w in words if len(w) >= nv.MIN_WORD]
-    want = {(a, b): e for a, b in itertools.combinations(long, 2) if (e := edits(a, b)) <= k}
+    got = {(r.a, r.b): r.edits for r in nv.near_forms(spark.createDataFrame([(w,) for w in words] + [(None,), (words[0],)], "w string"), "w").collect()}
+    want = {(a, b): edits(a, b) for a, b in itertools.combinations(words, 2) if is_typing_error(a, b)}
     assert got == want
+    tagged = spark.createDataFrame([(w, "x" if i % 3 else "y") for i, w in enumerate(words)], "w string, same string")
+    kind = {w: "x" if i % 3 else "y" for i, w in enumerate(words)}
+    got = {(r.a, r.b) for r in nv.near_forms(tagged, "w", "same").collect()}
+    assert got == {(a, b) for a, b in want if kind[a] == kind[b]}
 
 
 def test_tokens():
@@ -81,6 +91,8 @@ def test_links(spark):
     assert all(len(c) == 1 for c in classes.values()), classes
     assert len(set.union(*classes.values())) == len(classes)
     assert not {got[n] for n in FILLER} & set.union(*classes.values())
+    path = {r.name: r.path for r in out}
+    assert path["stgewizel payload technologies"] == "near" and path["Drehofilan Railway Hldgs"] == "form" and path["Stugewizel P.T. Corp"] == "shortened"
 
 
 def test_one_organisation_with_a_third_of_the_names(spark):
@@ -110,7 +122,9 @@ def test_one_organisation_with_a_third_of_the_names(spark):
 
 def test_pairs_and_empty(spark, rows):
     linked = spark.createDataFrame([("b", 1), ("a", 1), ("c", 1), ("z", 2)], "name string, class_id int")
-    assert rows(nv.pairs(linked)) == [("a", "b"), ("a", "c"), ("b", "c")]
+    assert rows(nv.pairs(linked)) == rows(nv.pairs(linked, block=1)) == [("a", "b"), ("a", "c"), ("b", "c")]
+    many = spark.createDataFrame([(f"n{i:03}", 1) for i in range(100)], "name string, class_id int")
+    assert nv.pairs(many, block=7).distinct().count() == nv.pairs(many, block=7).count() == 4950
     assert nv.link_names(spark.createDataFrame([], "n string"), "n").count() == 0
 
 

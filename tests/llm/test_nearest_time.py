@@ -41,3 +41,13 @@ def test_ties_edges_and_empty(spark):
     assert run(spark, left, [("a", at(4), 1.0), ("a", at(6), 1.0), ("b", at(10), None), ("b", at(-1), None)]) == [("x", "a", at(5), at(4)), ("y", "b", at(5), at(10))]
     assert run(spark, left, []) == [] and run(spark, [], [("a", at(4), 1.0)]) == []
     assert run(spark, left, [("b", at(11), 1.0)]) == []
+
+
+def test_repeats_of_one_row_and_more_partitions_by_size(spark, monkeypatch):
+    """One record a thousand times is one record; the number of partitions follows from the rows."""
+    from tidemark.llm import nearest_time
+
+    monkeypatch.setattr(nearest_time, "PARTITION_ROWS", 100)
+    left = [("a", D0, "same", None)] * 1000 + [("a", D0 + timedelta(days=i % 300), f"i{i}", None) for i in range(900)]
+    right = [("a", D0 + timedelta(days=7 * i + 3), None) for i in range(40)]
+    assert run(spark, left, right) == brute(left, right)

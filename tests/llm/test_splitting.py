@@ -76,3 +76,10 @@ def test_rows(spark):
 def test_counts(spark):
     df = spark.createDataFrame([("a b c",), ("",), (None,)], "t string")
     assert [r[0] for r in df.select(count_tokens(df.t)).collect()] == [3, 0, None]
+
+
+def test_a_natural_place_in_the_first_half_comes_before_a_hard_cut():
+    head = "A few words stand in front of it, and they are more than the overlap has."
+    text = head + " " + "xQ7" * 400 + " and some more words to end with."
+    first = check(text, 300, 10)[0]
+    assert text[first[0] : first[0] + first[1]] == head

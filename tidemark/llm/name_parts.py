@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Collection, Mapping
+from functools import lru_cache
 
 #: Spellings of legal forms and the form they stand for.
 LEGAL = {
@@ -98,7 +99,24 @@ def split_joined(token: str, common: Collection[str], least: int = 5) -> list[st
     return [token]
 
 
-def profile(words: list[str], common: Mapping[str, int]) -> tuple[str, list[str], list[str], str]:
+class Vocabulary:
+    """General words by first letter; what a short word abbreviates is looked up once per distinct word."""
+
+    def __init__(self, common: Collection[str]) -> None:
+        self.words = set(common)
+        self._by_letter: dict[str, list[str]] = {}
+        for w in sorted(self.words):
+            self._by_letter.setdefault(w[0], []).append(w)
+        self.longer = lru_cache(maxsize=200_000)(self._longer)
+
+    def __contains__(self, word: str) -> bool:
+        return word in self.words
+
+    def _longer(self, short: str) -> tuple[str, ...]:
+        return tuple(c for c in self._by_letter.get(short[0], ()) if abbreviates(short, c))
+
+
+def profile(words: list[str], common: Vocabulary) -> tuple[str, list[str], list[str], str]:
     """(distinctive part, full words, open items, legal form) of one name.
 
     ``words`` are tokens whose typing errors in common words are already mended. An open
@@ -116,7 +134,7 @@ def profile(words: list[str], common: Mapping[str, int]) -> tuple[str, list[str]
             rest.append(w)
     given = [w for w in rest if w in GIVEN or w in SHORT]
     known = lambda w: w in common or w in GIVEN or w in SHORT
-    unknown = [w for w in rest if not known(w) and len(w) > 5 and not any(abbreviates(w, c) for c in common if c[0] == w[0] and len(c) > len(w) + 1)]
+    unknown = [w for w in rest if not known(w) and len(w) > 5 and not any(len(c) > len(w) + 1 for c in common.longer(w))]
     if not unknown:
         unknown = sorted((w for w in rest if not known(w) and len(w) > 3), key=len)[-1:]
     if not unknown:
@@ -130,14 +148,14 @@ def profile(words: list[str], common: Mapping[str, int]) -> tuple[str, list[str]
         if w in GIVEN:
             full.append(w)
         elif w in SHORT and person:
-            may = sorted({*SHORT[w], *(c for c in common if len(c) > 3 and abbreviates(w, c))})
+            may = sorted({*SHORT[w], *(c for c in common.longer(w) if len(c) > 3)})
             items.append("|".join(may)) if len(may) > 1 else full.append(may[0])
         elif len(w) == 1:
             full.append(w + ".") if person else items.append("=" + w)
         elif w in common:
             full.append(w)
         else:
-            long = [c for c in common if len(c) > 3 and abbreviates(w, c)]
+            long = [c for c in common.longer(w) if len(c) > 3]
             if len(w) == 2 and not any(w[0] == c[0] and w[-1] == c[-1] and len(c) < 6 for c in long):
                 items.extend("=" + c for c in w)
             elif len(long) == 1:

@@ -1,7 +1,9 @@
 """Matching records by nearest time, for entities of any size.
 
 Both tables are united as (entity, time, side, tie) and range-partitioned over the whole
-of that key, so that one entity, one day or one repeated row may spread over many tasks.
+of that key, so that one entity or one day may spread over many tasks; rows that repeat in
+all of it are reduced to one before. The number of partitions follows from the number of
+rows, so that each holds about ``PARTITION_ROWS`` and its scan fits in a task's memory.
 The partitions are written once (their bounds come from a sample and must not change
 between readings). Each partition yields its first and last right record; a two-level
 prefix scan over these edges, in blocks of about the square root of their number, carries
@@ -24,6 +26,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.materialize import checkpoint
+from tidemark.session import ship
+
+PARTITION_ROWS = 1_000_000
 
 
 def _carry(edges: DataFrame, partitions: int) -> DataFrame:
@@ -81,13 +86,7 @@ def _scan(tolerance: int):
             hit = np.minimum(d_back, d_ahead) != none
         else:
             found, hit = l_key, np.zeros(len(l_key), dtype=bool)
-        rows = t.filter(pa.array(left))
-        tie = rows.column("tie").combine_chunks()
-        if len(rows) > 1:  # repeated rows stand side by side
-            tied = tie.dictionary_encode()
-            tied = (tied.combine_chunks() if isinstance(tied, pa.ChunkedArray) else tied).indices.fill_null(-1).to_numpy(zero_copy_only=False)
-            hit[1:] &= (l_key[1:] != l_key[:-1]) | (tied[1:] != tied[:-1])
-        rows = rows.filter(pa.array(hit))
+        rows = t.filter(pa.array(left)).filter(pa.array(hit))
         near = pa.array((found % span)[hit], pa.int64())
         out = pa.table({"entity": rows.column("entity"), "day": rows.column("day"), "tie": rows.column("tie"), "near": near})
         yield from out.to_batches()
@@ -99,14 +98,15 @@ def nearest(left: DataFrame, right: DataFrame, entity: str, left_day: str, right
     """(key, entity, left_day, right_day): the nearest right day within the tolerance.
 
     ``entity`` is a column of both tables, ``key`` a column of ``left`` (compared as a
-    string); days are dates.
+    string); days are dates. ``partitions`` is at least the session's number of shuffle partitions.
     """
     spark = left.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ship(spark)
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((left.count() + right.count()) / PARTITION_ROWS))
     use = lambda df, day, side, tie: df.select(
         F.col(entity).cast("string").alias("entity"), F.unix_date(F.col(day).cast("date")).cast("long").alias("day"), F.lit(side).alias("side"), tie.alias("tie")
-    ).where(F.col("entity").isNotNull() & F.col("day").isNotNull())
-    rows = use(left, left_day, 1, F.col(key).cast("string")).unionByName(use(right, right_day, 0, F.lit(None).cast("string")).distinct())
+    ).where(F.col("entity").isNotNull() & F.col("day").isNotNull()).distinct()
+    rows = use(left, left_day, 1, F.col(key).cast("string")).unionByName(use(right, right_day, 0, F.lit(None).cast("string")))
     order = ["entity", "day", "side", "tie"]
     ranged = checkpoint(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("pid", F.spark_partition_id()))
     edge = F.struct("entity", "day")

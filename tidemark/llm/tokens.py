@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.session import ship
+
 #: A rank file: one base64 token and its rank a line.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split pattern that belongs to these ranks (a fixed value of the vocabulary).
@@ -39,7 +41,8 @@ def byte_lengths(path: str = VOCABULARY):
 
 
 def count_tokens(text: Column, path: str = VOCABULARY) -> Column:
-    """Tokens of each text; null for null, 0 for an empty text."""
+    """Tokens of each text; null for null, 0 for an empty text. The vocabulary file must be on every machine, at ``path``."""
+    ship()
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
