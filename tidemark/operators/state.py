@@ -54,6 +54,17 @@ def pending(wanted: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFram
     return some.join(done.select(*keys), list(keys), "left_anti")
 
 
+def settle(wanted: DataFrame, cache: DataFrame, answers: DataFrame, keys: Sequence[str], status: str = "status") -> DataFrame:
+    """New cache rows for the wanted keys that ``cache`` doesn't know: the answer, or a row that says ``not_found``.
+
+    Keys in the cache are never asked again, whatever their status. A key with several answers gets one of them.
+    """
+    need = pending(wanted, cache, keys)
+    known = latest(answers, keys, [c for c in answers.columns if c not in keys])
+    out = need.join(known.withColumn("_hit", F.lit(True)), list(keys), "left")
+    return out.withColumn(status, F.when(F.col("_hit"), "success").otherwise("not_found")).drop("_hit")
+
+
 def in_backoff(failures: DataFrame, now: Column, seconds: Sequence[int], attempts: str = "attempts", last: str = "last_attempt_at") -> DataFrame:
     """Failures that must still wait: the n-th attempt waits the n-th of ``seconds``, later ones the last."""
     steps = F.array(*[F.lit(int(s)) for s in seconds])

@@ -16,7 +16,7 @@ from tidemark.operators import bars
 from tidemark.operators.asof import asof_join
 from tidemark.operators.history import value_before
 from tidemark.operators.quantiles import quantiles
-from tidemark.schemas import RAW_TRANSACTION
+from tidemark.schemas import RAW_TRANSACTION, SIGNALLED
 
 VERSION = "0.1.0"
 #: Kinds of award in scope (fixed values).
@@ -78,6 +78,28 @@ def lookup(df: DataFrame, side: DataFrame, on: Mapping[str, str], cols: Sequence
     return df.join(right, cond, "left").drop(*["_k_" + r for r in on.values()])
 
 
+HIERARCHY = ["cage_business_name", "cage_update_date", "is_highest", "immediate_level_owner", "highest_level_owner_name", "highest_level_cage_code", "highest_level_cage_update_date"]
+MARKET = ["market_cap", "close_price", "shares_outstanding", "market_cap_quality", "sector", "industry"]
+
+
+def sole_source(offers: Column) -> Column:
+    """True for one offer, false for more, null for unknown and for fewer."""
+    return F.when(offers == 1, True).when(offers > 1, False)
+
+
+def enrich(df: DataFrame, hierarchy: DataFrame, tickers: DataFrame, caps: DataFrame, today: Column | None = None) -> DataFrame:
+    """Owner, ticker and market value of the day, each from its cache (one row per key).
+
+    ``hierarchy``: cage_code and ``HIERARCHY``; ``tickers``: highest_level_owner_name, ticker;
+    ``caps``: ticker, date and ``MARKET``. Keys that a cache doesn't have, or has as not found, leave nulls.
+    """
+    out = lookup(df, hierarchy, {"cage_code": "cage_code"}, HIERARCHY)
+    out = lookup(out, tickers, {"highest_level_owner_name": "highest_level_owner_name"}, ["ticker"])
+    out = out.withColumns({"is_public": F.col("ticker").isNotNull(), "sole_source_flag": sole_source(F.col("number_of_offers_received"))})
+    out = lookup(out, caps, {"ticker": "ticker", "action_date": "date"}, MARKET)
+    return out.withColumns({"last_verified_date": F.current_date() if today is None else today, "theme_llm": F.lit(None).cast("string")})
+
+
 def themes(df: DataFrame, naics: DataFrame, keywords: DataFrame, psc: DataFrame, boilerplate: Sequence[str] = ()) -> DataFrame:
     """Normalised codes with titles, keywords (ordered, joined by ``; ``) and service texts."""
     df = df.withColumns({"naics_code": x.pad_code(F.col("naics_code")), "product_or_service_code": x.upper_code(F.col("product_or_service_code"))})
@@ -144,6 +166,12 @@ def signals(df: DataFrame) -> DataFrame:
     return quality_tags(stored(ratio_signals(df), "ratio-signals")).withColumn("event_class", event_class()).drop("prev_potential_value")
 
 
+def run(raw: DataFrame, hierarchy: DataFrame, tickers: DataFrame, caps: DataFrame, naics: DataFrame, keywords: DataFrame, psc: DataFrame, now: Column | None = None, least_total: float = 5e6) -> DataFrame:
+    """All phases from raw transactions to stamped signals, with the columns of ``schemas.SIGNALLED``."""
+    enriched = enrich(ingest(raw, least_total), hierarchy, tickers, caps, None if now is None else now.cast("date"))
+    return stamp(signals(themes(enriched, naics, keywords, psc)), now=now).select(*SIGNALLED)
+
+
 def point_in_time_cap(events: DataFrame, prices: DataFrame, shares: DataFrame, current: DataFrame, close_days: int = 10, share_days: int = 180) -> DataFrame:
     """Market value of the day from the last close and the last valid share count; falls back to current shares.
 

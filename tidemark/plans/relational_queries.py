@@ -13,6 +13,7 @@ from tidemark.plans import event_sql as q
 from tidemark.plans import event_tables as t
 from tidemark.plans import phases
 from tidemark.session import table
+from tidemark.sources.files import service_codes
 from tidemark.sources.html_pages import parse_details
 from tidemark.sources.providers import resolve_tickers
 
@@ -55,7 +56,7 @@ def ingestion_profile(spark: SparkSession, d: str) -> DataFrame:
     return phases.profile(table(spark, d, "raw_filtered_awards"), "raw_filtered_awards").withColumn("total_obligation", F.round("total_obligation", 2))
 
 
-@query("SELECT ticker, action_date, contract_transaction_unique_key, market_cap FROM (SELECT DISTINCT ticker, action_date, contract_transaction_unique_key, market_cap FROM enriched_awards WHERE is_public AND market_cap IS NOT NULL AND ticker IS NOT NULL) ORDER BY ticker, action_date, contract_transaction_unique_key LIMIT 500")
+@query("SELECT ticker, action_date, contract_transaction_unique_key, market_cap FROM (SELECT DISTINCT ticker, action_date, contract_transaction_unique_key, market_cap FROM enriched_awards WHERE is_public AND market_cap IS NOT NULL AND ticker IS NOT NULL)")
 def eligible_order_limit(spark: SparkSession, d: str, limit: int | None = None) -> DataFrame:
     e = table(spark, d, "enriched_awards").where(F.col("is_public") & F.col("market_cap").isNotNull() & F.col("ticker").isNotNull())
     out = e.select("ticker", "action_date", KEY, "market_cap").distinct().orderBy("ticker", "action_date", KEY)
@@ -77,15 +78,20 @@ def complete_cases(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "enriched_awards").select(KEY, "market_cap", "ticker", "sector").dropna(subset=["market_cap", "ticker", "sector"])
 
 
-@query("SELECT contract_transaction_unique_key, ticker IS NOT NULL AS has_ticker, CASE WHEN sole_source_flag IS NULL THEN NULL ELSE sole_source_flag END AS sole_source, coalesce(is_public, FALSE) AS listed FROM enriched_awards")
+@query("""SELECT contract_transaction_unique_key, ingested_at, number_of_offers_received = 1 AND number_of_offers_received IS NOT NULL AS one_offer,
+CASE WHEN number_of_offers_received >= 1 THEN number_of_offers_received < 2 AND number_of_offers_received = 1 END AS sole_source,
+transaction_type IS NOT NULL AND transaction_type IN ('NEW_AWARDS', 'NEW_DELIVERY_ORDERS', 'FUNDING_INCREASE') AS is_primary FROM raw_filtered_awards""")
 def boolean_derivations(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "enriched_awards")
-    return e.select(KEY, F.col("ticker").isNotNull().alias("has_ticker"), F.col("sole_source_flag").alias("sole_source"), F.coalesce("is_public", F.lit(False)).alias("listed"))
+    raw, offers = table(spark, d, "raw_filtered_awards"), F.col("number_of_offers_received")
+    return raw.select(
+        KEY, "ingested_at", F.coalesce(offers == 1, F.lit(False)).alias("one_offer"), phases.sole_source(offers).alias("sole_source"),
+        F.coalesce(F.col("transaction_type").isin(*phases.PRIMARY), F.lit(False)).alias("is_primary"),
+    )
 
 
-@query("SELECT o_orderkey, o_custkey, NULL AS s_suppkey FROM orders WHERE o_orderstatus = 'F' UNION ALL BY NAME SELECT NULL AS o_orderkey, NULL AS o_custkey, s_suppkey FROM supplier")
+@query("SELECT o_orderkey, o_custkey, NULL AS s_suppkey FROM orders UNION ALL BY NAME SELECT NULL AS o_orderkey, NULL AS o_custkey, s_suppkey FROM supplier")
 def union_by_name(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey")
+    a = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     return a.unionByName(table(spark, d, "supplier").select("s_suppkey"), allowMissingColumns=True)
 
 
@@ -166,16 +172,32 @@ def lookup_normalised_join(spark: SparkSession, d: str) -> DataFrame:
     return phases.lookup(out, psc, {"service_code": "code"}, ["psc_name"])
 
 
-@query("SELECT DISTINCT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+_OWNERS = "SELECT highest_level_owner_name FROM enriched_awards WHERE highest_level_owner_name IS NOT NULL"
+
+
+@query(f"SELECT DISTINCT recipient_parent_name AS owner FROM raw_filtered_awards WHERE recipient_parent_name IS NOT NULL AND recipient_parent_name NOT IN ({_OWNERS})")
 def pending_left_anti(spark: SparkSession, d: str) -> DataFrame:
-    return state.pending(table(spark, d, "customer"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    wanted = table(spark, d, "raw_filtered_awards").select(F.col("recipient_parent_name").alias("owner"))
+    return state.pending(wanted, table(spark, d, "enriched_awards").select(F.col("highest_level_owner_name").alias("owner")), ["owner"])
 
 
-@query("SELECT * FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+@query(f"SELECT contract_transaction_unique_key, ingested_at, recipient_parent_name FROM raw_filtered_awards WHERE recipient_parent_name IN ({_OWNERS})")
 def cached_left_semi(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").where("o_orderstatus = 'P'")
-    c = table(spark, d, "customer")
-    return c.join(o, c.c_custkey == o.o_custkey, "left_semi")
+    raw = table(spark, d, "raw_filtered_awards").select(KEY, "ingested_at", "recipient_parent_name")
+    owners = table(spark, d, "enriched_awards").select(F.col("highest_level_owner_name").alias("recipient_parent_name"))
+    return raw.join(owners, "recipient_parent_name", "left_semi")
+
+
+_TICKERS = "SELECT highest_level_owner_name AS owner, min(ticker) AS ticker FROM enriched_awards WHERE highest_level_owner_name IS NOT NULL AND ticker IS NOT NULL GROUP BY 1"
+
+
+@query(f"SELECT owner, t.ticker, CASE WHEN t.owner IS NULL THEN 'not_found' ELSE 'success' END AS status FROM (SELECT DISTINCT recipient_parent_name AS owner FROM raw_filtered_awards WHERE recipient_parent_name IS NOT NULL) w LEFT JOIN ({_TICKERS}) t USING (owner) WHERE owner NOT IN (SELECT recipient_parent_name FROM raw_filtered_awards WHERE action_date < DATE '2023-01-01' AND recipient_parent_name IS NOT NULL)".replace("SELECT owner, t.ticker, CASE WHEN t.owner IS NULL", "SELECT w.owner, t.ticker, CASE WHEN t.owner IS NULL").replace("WHERE owner NOT IN", "WHERE w.owner NOT IN").replace("USING (owner)", "ON t.owner = w.owner"))
+def negative_caching(spark: SparkSession, d: str) -> DataFrame:
+    """Owners that no action before 2023 named are asked for; those without a ticker are kept as not found."""
+    raw = table(spark, d, "raw_filtered_awards").select(F.col("recipient_parent_name").alias("owner"), "action_date")
+    e = table(spark, d, "enriched_awards").where(F.col("highest_level_owner_name").isNotNull() & F.col("ticker").isNotNull())
+    answers = e.groupBy(F.col("highest_level_owner_name").alias("owner")).agg(F.min("ticker").alias("ticker"))
+    return state.settle(raw.select("owner"), raw.where("action_date < '2023-01-01'").select("owner"), answers, ["owner"])
 
 
 _LISTED = "l AS (SELECT DISTINCT contract_transaction_unique_key, ticker, action_date FROM enriched_awards WHERE ticker IS NOT NULL)"
@@ -203,8 +225,8 @@ def benchmark_map_join(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "enriched_awards").select(KEY, "industry", bars.benchmark_of(F.col("industry"), names, "SPY").alias("benchmark"))
 
 
-@query(f"""WITH {q.BARS}, {_LISTED}, sh AS (SELECT ticker, date AS report_date, max(shares_outstanding) AS count FROM cache_market_cap WHERE status = 'success' AND extract(month FROM date) <= 6 AND shares_outstanding IS NOT NULL GROUP BY ALL),
-cur AS (SELECT ticker, max(shares_outstanding) AS shares_now FROM cache_market_cap GROUP BY ticker HAVING ticker < 'X'),
+@query(f"""WITH {q.BARS}, {_LISTED}, sh AS (SELECT ticker, date AS report_date, max(shares_outstanding) AS count FROM cache_market_cap WHERE status = 'success' AND shares_outstanding IS NOT NULL GROUP BY ALL),
+cur AS (SELECT ticker, max(shares_outstanding) AS shares_now FROM cache_market_cap GROUP BY ticker),
 a AS (SELECT l.*, CASE WHEN l.action_date - b.date <= 10 THEN b.close_adj END AS close FROM l ASOF LEFT JOIN bars b ON l.ticker = b.ticker AND l.action_date >= b.date),
 c AS (SELECT a.*, CASE WHEN a.action_date - sh.report_date <= 180 AND sh.count > 0 THEN sh.count END AS known FROM a ASOF LEFT JOIN sh ON a.ticker = sh.ticker AND a.action_date >= sh.report_date),
 e AS (SELECT c.*, CASE WHEN shares_now > 0 THEN shares_now END AS shares_now FROM c LEFT JOIN cur USING (ticker))
@@ -261,10 +283,12 @@ def duration_floor(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "raw_filtered_awards").select(KEY, x.floored_days(F.col("action_date"), F.col("period_of_performance_current_end_date")).alias("duration_days"))
 
 
-@query("SELECT contract_transaction_unique_key, round(CASE WHEN ceiling_change <> 0 THEN sign(ceiling_change) * log10(greatest(1.0, abs(ceiling_change))) END, 6) AS logged FROM signals_awards WHERE ceiling_change IS NULL OR isfinite(ceiling_change)")
+@query("SELECT contract_transaction_unique_key, CASE WHEN isnan(ceiling_change) THEN 'nan' WHEN isinf(ceiling_change) THEN 'inf' ELSE 'finite' END AS kind, round(CASE WHEN ceiling_change <> 0 AND isfinite(ceiling_change) THEN sign(ceiling_change) * log10(greatest(1.0, abs(ceiling_change))) END, 6) AS logged FROM signals_awards")
 def signed_log10(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "signals_awards").where(F.col("ceiling_change").isNull() | (~F.isnan("ceiling_change") & (F.abs("ceiling_change") != float("inf"))))
-    return s.select(KEY, F.round(x.signed_log10(F.col("ceiling_change")), 6).alias("logged"))
+    c = F.col("ceiling_change")
+    kind = F.when(F.isnan(c), "nan").when(F.abs(c) == float("inf"), "inf").otherwise("finite")
+    s = table(spark, d, "signals_awards").withColumn("kind", kind)
+    return s.select(KEY, "kind", F.round(F.when(F.col("kind") == "finite", x.signed_log10(c)), 6).alias("logged"))
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%m/%d/%Y') AS written, CAST(o_orderdate AS DATE) AS read_back FROM orders")
@@ -312,14 +336,26 @@ def latest_per_key(spark: SparkSession, d: str) -> DataFrame:
 # keyed state
 
 
-@query("""WITH b AS (SELECT o_custkey AS c_custkey, max(o_totalprice) AS c_acctbal FROM orders WHERE o_orderstatus = 'P' GROUP BY 1)
-SELECT coalesce(c.c_custkey, b.c_custkey) AS c_custkey, CASE WHEN b.c_custkey IS NOT NULL THEN b.c_acctbal ELSE c.c_acctbal END AS c_acctbal, c_mktsegment FROM (SELECT * FROM customer WHERE c_custkey % 3 > 0) c FULL JOIN b ON c.c_custkey = b.c_custkey""")
+@query("""WITH b AS (SELECT o_custkey + 50 AS c_custkey, max(o_totalprice) AS c_acctbal FROM orders GROUP BY 1)
+SELECT coalesce(c.c_custkey, b.c_custkey) AS c_custkey, CASE WHEN b.c_custkey IS NOT NULL THEN b.c_acctbal ELSE c.c_acctbal END AS c_acctbal, c_mktsegment FROM customer c FULL JOIN b ON c.c_custkey = b.c_custkey""")
 def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Balances from orders whose keys are moved by fifty, so that some customers are new and some get nothing."""
     old = table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
-    batch = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("c_acctbal"))
+    batch = table(spark, d, "orders").select((F.col("o_custkey") + 50).alias("c_custkey"), F.col("o_totalprice").alias("c_acctbal"))
     return state.upsert(old, batch, ["c_custkey"], ["c_acctbal"])
 
 
+@query("""WITH f AS (SELECT event_type AS provider, CAST(user_id AS VARCHAR) AS key, max(ts) AS last_attempt_at, count(*) AS attempts FROM events WHERE ts < TIMESTAMP '2024-01-15 00:00:00' GROUP BY ALL),
+n AS (SELECT event_type AS provider, CAST(user_id AS VARCHAR) AS key, max(ts) AS last_attempt_at FROM events WHERE ts >= TIMESTAMP '2024-01-15 00:00:00' GROUP BY ALL)
+SELECT provider, key, coalesce(n.last_attempt_at, f.last_attempt_at) AS last_attempt_at, f.attempts FROM f FULL JOIN n USING (provider, key)""")
+def upsert_failures(spark: SparkSession, d: str) -> DataFrame:
+    """Failures by provider and key: a later batch moves the time of the last attempt and leaves the other columns."""
+    e = table(spark, d, "events").select(F.col("event_type").alias("provider"), F.col("user_id").cast("string").alias("key"), "ts")
+    old = e.where("ts < '2024-01-15'").groupBy("provider", "key").agg(F.max("ts").alias("last_attempt_at"), F.count("*").alias("attempts"))
+    batch = e.where("ts >= '2024-01-15'").withColumnRenamed("ts", "last_attempt_at")
+    return state.upsert(old, batch, ["provider", "key"], ["last_attempt_at"])
+
+
 @query("""WITH have AS (SELECT ticker, date, close_adj FROM cache_returns WHERE date < DATE '2023-07-01' QUALIFY row_number() OVER (PARTITION BY ticker, date ORDER BY fetched_at, close_adj NULLS FIRST) = 1),
 late AS (SELECT ticker, date, close_adj FROM cache_returns WHERE date >= DATE '2023-01-01' QUALIFY row_number() OVER (PARTITION BY ticker, date ORDER BY fetched_at, close_adj NULLS FIRST) = 1)
 SELECT * FROM have UNION ALL SELECT * FROM late l WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.ticker = l.ticker AND h.date = l.date)""")
@@ -373,10 +409,11 @@ def ticker_choice(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT psc_code, psc_name FROM (SELECT upper(product_or_service_code) AS psc_code, product_or_service_code_description AS psc_name, row_number() OVER (PARTITION BY upper(product_or_service_code) ORDER BY ingested_at, contract_transaction_unique_key) AS rn FROM raw_filtered_awards WHERE product_or_service_code IS NOT NULL AND product_or_service_code_description IS NOT NULL AND (period_of_performance_current_end_date IS NULL OR period_of_performance_current_end_date >= DATE '2024-01-01')) WHERE rn = 1")
 def service_code_lookup(spark: SparkSession, d: str) -> DataFrame:
-    end = F.col("period_of_performance_current_end_date")
-    r = table(spark, d, "raw_filtered_awards").where(F.col("product_or_service_code").isNotNull() & F.col("product_or_service_code_description").isNotNull() & (end.isNull() | (end >= "2024-01-01")))
-    first = F.min_by("product_or_service_code_description", F.struct("ingested_at", KEY))
-    return r.groupBy(F.upper("product_or_service_code").alias("psc_code")).agg(first.alias("psc_name")).orderBy("psc_code")
+    r = table(spark, d, "raw_filtered_awards").where(F.col("product_or_service_code_description").isNotNull()).select(
+        F.upper("product_or_service_code").alias("psc_code"), F.col("product_or_service_code_description").alias("psc_name"), "ingested_at", KEY,
+        F.date_format("period_of_performance_current_end_date", "MM/dd/yyyy").alias("end"),
+    )
+    return service_codes(spark, r, "psc_code", "end", "2024-01-01", ["psc_name"], ["ingested_at", KEY])
 
 
 @query("SELECT transaction_type, award_type, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS pct FROM raw_filtered_awards GROUP BY 1, 2")
@@ -397,7 +434,13 @@ def _field(label: str, value: Column) -> Column:
     return F.when(value.isNotNull(), F.format_string(f"<label>{label}</label><span>%s</span>", escaped)).otherwise("")
 
 
-@query("SELECT contract_transaction_unique_key, cage_code, strftime(cage_update_date, '%Y-%m-%d') AS cage_update_date, is_highest, highest_level_owner_name AS owner, highest_level_cage_code AS owner_code FROM (SELECT contract_transaction_unique_key, cage_code, cage_update_date, FALSE AS is_highest, highest_level_owner_name, highest_level_cage_code FROM enriched_awards WHERE highest_level_owner_name = trim(highest_level_owner_name) AND NOT contains(highest_level_owner_name, '  ') AND cage_code IS NOT NULL AND cage_update_date IS NOT NULL AND highest_level_cage_code IS NOT NULL)")
+_CLEAN = "trim(regexp_replace(coalesce({c}, ''), '[\\s\\x{{00A0}}]+', ' ', 'g'))"
+
+
+@query(f"""WITH e AS (SELECT contract_transaction_unique_key, {_CLEAN.format(c="cage_code")} AS cage_code, coalesce(strftime(cage_update_date, '%Y-%m-%d'), '') AS cage_update_date,
+  highest_level_owner_name IS NULL AND highest_level_cage_code IS NULL AS is_highest, {_CLEAN.format(c="cage_business_name")} AS business,
+  {_CLEAN.format(c="highest_level_owner_name")} AS name, {_CLEAN.format(c="highest_level_cage_code")} AS code FROM enriched_awards)
+SELECT contract_transaction_unique_key, cage_code, cage_update_date, is_highest, if(name = '', business, name) AS owner, if(code = '', cage_code, code) AS owner_code FROM e""")
 def html_detail_parse(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "enriched_awards")
     name, code = F.col("highest_level_owner_name"), F.col("highest_level_cage_code")
@@ -416,3 +459,53 @@ def ticker_by_normalised_name(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "enriched_awards").select(F.col("highest_level_owner_name").alias("name"), "ticker", F.lit("US").alias("exchange")).where(F.col("name").isNotNull())
     owners = table(spark, d, "raw_filtered_awards").select(F.col("recipient_parent_name_raw").alias("owner"))
     return resolve_tickers(owners, e).select("owner", "ticker")
+
+
+# all phases in a row
+
+_NOW = "2024-01-01 00:00:00"
+_PIPELINE = f"""WITH {q.LAGGED.replace("* EXCLUDE (prev_potential_value)", "* EXCLUDE (prev_potential_value, transaction_type)")},
+scoped AS (SELECT * EXCLUDE (ingested_at), {q.KIND} AS transaction_type FROM lagged
+  WHERE federal_action_obligation >= 0 AND total_dollars_obligated >= 1e6 AND award_type IN ('DEFINITIVE CONTRACT', 'DELIVERY ORDER', 'PURCHASE ORDER')),
+owners AS (SELECT cage_code, max(highest_level_owner_name) AS highest_level_owner_name FROM enriched_awards WHERE cage_code IS NOT NULL GROUP BY 1),
+tickers AS ({_TICKERS}),
+caps AS (SELECT ticker, date, market_cap, market_cap_quality, sector, industry FROM cache_market_cap
+  QUALIFY row_number() OVER (PARTITION BY ticker, date ORDER BY fetched_at DESC NULLS LAST, market_cap DESC NULLS LAST, market_cap_quality DESC NULLS LAST, sector DESC NULLS LAST, industry DESC NULLS LAST) = 1),
+titles AS (SELECT lpad(trim(naics_code), 6, '0') AS naics_code, max(naics_description) AS naics_title FROM raw_filtered_awards WHERE naics_code IS NOT NULL GROUP BY 1),
+words AS (SELECT naics_code, string_agg(kw, '; ' ORDER BY kw) AS naics_keywords FROM (SELECT DISTINCT lpad(trim(naics_code), 6, '0') AS naics_code, product_or_service_code_description AS kw
+  FROM raw_filtered_awards WHERE naics_code IS NOT NULL AND product_or_service_code_description IS NOT NULL) GROUP BY 1),
+psc AS (SELECT upper(trim(product_or_service_code)) AS psc_code, max(product_or_service_code_description) AS psc_name FROM raw_filtered_awards WHERE product_or_service_code IS NOT NULL GROUP BY 1),
+base AS (SELECT s.*, o.highest_level_owner_name, t.ticker, c.sector, c.industry, c.market_cap, c.market_cap_quality, n.naics_title, w.naics_keywords, p.psc_name
+  FROM scoped s LEFT JOIN owners o USING (cage_code) LEFT JOIN tickers t ON t.owner = o.highest_level_owner_name LEFT JOIN caps c ON c.ticker = t.ticker AND c.date = s.action_date
+  LEFT JOIN titles n ON n.naics_code = lpad(trim(s.naics_code), 6, '0') LEFT JOIN words w ON w.naics_code = lpad(trim(s.naics_code), 6, '0') LEFT JOIN psc p ON p.psc_code = upper(trim(s.product_or_service_code)))
+{q.SIGNAL_STEPS}
+SELECT contract_transaction_unique_key, transaction_type, highest_level_owner_name, ticker, ticker IS NOT NULL AS is_public,
+  CASE WHEN number_of_offers_received >= 1 THEN number_of_offers_received = 1 END AS sole_source_flag, market_cap, naics_title, naics_keywords, psc_name,
+  round(ceiling_change, 2) + 0.0 AS ceiling_change, is_primary_action, signal_quality, event_class, '{phases.VERSION}' AS pipeline_version FROM signals"""
+
+
+def caches(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """What outside services would have answered, from the tables."""
+    e, raw, cap = table(spark, d, "enriched_awards"), table(spark, d, "raw_filtered_awards"), table(spark, d, "cache_market_cap")
+    named = e.where(F.col("highest_level_owner_name").isNotNull() & F.col("ticker").isNotNull())
+    code, text = x.pad_code(F.col("naics_code")), F.col("product_or_service_code_description")
+    none = F.lit(None).cast("string")
+    return {
+        "hierarchy": e.where(F.col("cage_code").isNotNull()).groupBy("cage_code").agg(*[F.max(c).alias(c) for c in phases.HIERARCHY]),
+        "tickers": named.groupBy("highest_level_owner_name").agg(F.min("ticker").alias("ticker")),
+        "caps": bars.latest(cap, ["ticker", "date"], ["fetched_at", "market_cap", "market_cap_quality", "sector", "industry", "close_price", "shares_outstanding"]),
+        "naics": raw.where(F.col("naics_code").isNotNull()).groupBy(code.alias("naics_code")).agg(F.max("naics_description").alias("naics_title"), F.max("naics_description").alias("naics_description")),
+        "keywords": raw.select(code.alias("naics_code"), text.alias("keyword")).dropna().distinct(),
+        "psc": raw.where(F.col("product_or_service_code").isNotNull()).groupBy(x.upper_code(F.col("product_or_service_code")).alias("psc_code")).agg(
+            F.max(text).alias("psc_name"), F.first(none).alias("psc_includes"), F.first(none).alias("psc_level_1_category")),
+    }
+
+
+@query(_PIPELINE)
+def pipeline_end_to_end(spark: SparkSession, d: str) -> DataFrame:
+    """Ingest, enrich, themes and signals in a row, from raw transactions and caches."""
+    out = phases.run(t.raw(spark, d), **caches(spark, d), now=F.lit(_NOW).cast("timestamp_ntz"), least_total=1e6)
+    return out.select(
+        KEY, "transaction_type", "highest_level_owner_name", "ticker", "is_public", "sole_source_flag", "market_cap", "naics_title", "naics_keywords", "psc_name",
+        (F.round("ceiling_change", 2) + F.lit(0.0)).alias("ceiling_change"), "is_primary_action", "signal_quality", "event_class", "pipeline_version",
+    )

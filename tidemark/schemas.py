@@ -26,3 +26,18 @@ RAW_TRANSACTION = _struct(
 )
 #: The same, with the label that the delivered sample records carry.
 LABELLED_TRANSACTION = T.StructType([*RAW_TRANSACTION.fields, T.StructField("expected_transaction_type", T.StringType())])
+
+
+#: What each phase adds to the columns before it.
+INGESTED = [*RAW_TRANSACTION.names, "transaction_type"]
+ENRICHED = [
+    *INGESTED, "cage_business_name", "cage_update_date", "is_highest", "immediate_level_owner", "highest_level_owner_name", "highest_level_cage_code",
+    "highest_level_cage_update_date", "is_public", "ticker", "sole_source_flag", "market_cap", "close_price", "shares_outstanding", "market_cap_quality",
+    "sector", "industry", "last_verified_date", "theme_llm",
+]
+THEMED = [*ENRICHED, "naics_title", "naics_keywords", "psc_name", "psc_includes", "psc_level_1_category", "deliverable"]
+SIGNALLED = [
+    *THEMED, "contract_duration_years", "remaining_contract_length_years", "annualized_potential_value", "contract_potential_yield", "obligation_ratio", "moat_index",
+    "alpha_ratio", "ceiling_change", "duration_days", "acv_signal", "acv_alpha_ratio", "difference_between_obligated_and_potential", "ceiling_change_log_dollars",
+    "ceiling_change_pct_of_mcap", "relative_ceiling_change", "event_class", "is_primary_action", "signal_quality", "pipeline_version", "ingested_at",
+]

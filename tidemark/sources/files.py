@@ -73,8 +73,8 @@ def label_of(paths: Sequence[str], fallback: str = "all_sources") -> str:
     return common or fallback
 
 
-def service_codes(spark: SparkSession, df: DataFrame, code: str, end: str, today: str, cols: Sequence[str]) -> DataFrame:
-    """First row per code that has not ended before ``today``, in file order, sorted by code.
+def service_codes(spark: SparkSession, df: DataFrame, code: str, end: str, today: str, cols: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """First row per code that has not ended before ``today``, by ``order`` or else in file order, sorted by code.
 
     End dates may be written MM/DD/YYYY, MM/DD/YY (from 50 on the 1900s) or YYYY-MM-DD; others count as open.
     """
@@ -83,6 +83,6 @@ def service_codes(spark: SparkSession, df: DataFrame, code: str, end: str, today
     century = F.when(short.cast("int") >= 50, "19").otherwise("20")
     long = F.when(short != "", F.concat(F.regexp_extract(c, r"^(\d{1,2}/\d{1,2}/)", 1), century, short)).otherwise(c)
     day = F.coalesce(F.try_to_date(long, "M/d/yyyy"), F.try_to_date(c, "yyyy-MM-dd"))
-    live = df.withColumn("_at", F.monotonically_increasing_id()).where((F.trim(F.col(code)) != "") & (day.isNull() | (day >= F.lit(today).cast("date"))))
+    live = df.withColumn("_at", F.struct(*order) if order else F.monotonically_increasing_id()).where((F.trim(F.col(code)) != "") & (day.isNull() | (day >= F.lit(today).cast("date"))))
     first = live.groupBy(F.trim(F.col(code)).alias(code)).agg(F.min_by(F.struct(*cols), "_at").alias("_v"))
     return first.select(code, *[F.col("_v")[x].alias(x) for x in cols]).orderBy(code)
