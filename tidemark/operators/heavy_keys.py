@@ -2,14 +2,14 @@
 
 Heavy keys are found with a frequent-items sketch in one pass (partial sketches per
 task, a few kilobytes each) and their shares are made exact by a broadcast join of the
-candidates. The sketch's error is at most ``3.5 / TRACKED`` of the rows, far below any
-useful share, so no key above the share can be missed; a share too small for the sketch
-is refused. At most ``1 / share`` keys can be heavy, which bounds every broadcast.
+candidates. The sketch's error is at most ``3.5 / TRACKED`` of the rows, so no key above
+twice that can be missed; a share too small for the sketch is refused. At most ``1 / share`` keys can be heavy, which bounds every broadcast.
 
 Per-key results are then formed on two paths: heavy keys by broadcast join with a salt
 of the row, aggregated by (key, salt) and then by key; the rest by an ordinary shuffle.
-Both are combined on the map side and united at the end. Null keys are never heavy and
-form one group of their own on the ordinary path.
+Both are combined on the map side and united at the end. Null keys are never named as
+heavy; they form one group of an aggregation, and in a join, where they match nothing, they
+are not shuffled at all.
 """
 
 from __future__ import annotations
@@ -60,8 +60,8 @@ def candidates(df: DataFrame, key: str, share: float) -> DataFrame:
     The few values are fetched, because a sketch merged in another order may differ at its
     edge: both paths of an aggregation must split by one and the same list.
     """
-    if not 10 * 3.5 / TRACKED <= share <= 1:
-        raise ValueError(f"share must be between {35 / TRACKED} and 1")
+    if not 2 * 3.5 / TRACKED <= share <= 1:
+        raise ValueError(f"share must be between {7 / TRACKED} and 1")
     k = min(TRACKED, 2 * math.ceil(1 / share))
     top = df.where(F.col(key).isNotNull()).agg(F.expr(f"approx_top_k(`{key}`, {k}, {TRACKED})").alias("_top"))
     rows = top.select(F.explode("_top.item").alias(key)).collect()
@@ -91,10 +91,14 @@ def aggregate(df: DataFrame, key: str, aggs: Sequence[Agg], share: float = 0.01,
     return united.select(key, *[a.finish() for a in aggs], "is_heavy")
 
 
-def join(facts: DataFrame, per_key: DataFrame, key: str, share: float = 0.01) -> DataFrame:
-    """``facts`` left-joined with ``per_key`` (one row per key): heavy keys by broadcast, the rest by shuffle."""
+def join(facts: DataFrame, per_key: DataFrame, key: str, share: float = 0.001) -> DataFrame:
+    """``facts`` left-joined with ``per_key`` (one row per key): heavy keys and null by broadcast, the rest by shuffle.
+
+    At most 2 / share rows are broadcast; no key on the shuffled path holds more than ``share`` of the rows.
+    """
     few = candidates(facts, key, share)
+    marked = facts.join(F.broadcast(few.withColumn("__tm_hot", F.lit(True))), key, "left")
     hot_side = F.broadcast(per_key.join(F.broadcast(few), key, "left_semi"))  # a row per heavy key
-    hot = facts.join(F.broadcast(few), key, "left_semi").join(hot_side, key, "left")
-    rest = facts.join(F.broadcast(few), key, "left_anti").join(per_key, key, "left")
+    hot = marked.where(F.col("__tm_hot") | F.col(key).isNull()).drop("__tm_hot").join(hot_side, key, "left")
+    rest = marked.where(F.col("__tm_hot").isNull() & F.col(key).isNotNull()).drop("__tm_hot").join(per_key, key, "left")
     return hot.unionByName(rest)

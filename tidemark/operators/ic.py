@@ -28,15 +28,32 @@ def ic_table(df: DataFrame, segment: Column | None, signals: Sequence[str], retu
     return out.where(F.col("n") >= min_rows) if min_rows > 3 else out
 
 
-def stable(overall: DataFrame, parts: DataFrame, part: str, needed: int, least_ic: float = 0.02) -> DataFrame:
-    """Rows of ``overall`` with |ic| >= ``least_ic`` whose sign at least ``needed`` parts share, with the number of those.
-
-    Both tables have segment, signal, horizon and ic; ``parts`` also the column ``part``.
-    """
-    key = ["segment", "signal", "horizon"]
-    signs = parts.where(F.col(part) != "UNKNOWN").groupBy(*key).agg(F.count_if(F.col("ic") > 0).alias("_up"), F.count_if(F.col("ic") < 0).alias("_down"))
-    same = F.when(F.col("ic") > 0, F.col("_up")).otherwise(F.col("_down"))
-    return overall.where(F.abs("ic") >= least_ic).join(signs, key).withColumn("same_sign", same).where(F.col("same_sign") >= needed).drop("_up", "_down")
+CELL = ["segment", "signal", "horizon"]
+
+
+def part_table(df: DataFrame, segment: str, part: Column, signals: Sequence[str], returns: Mapping[int, str]) -> DataFrame:
+    """(segment, part, signal, horizon, n, ic): the correlations of every part (a quarter, a year) of every segment."""
+    rows = long_form(df.withColumns({"segment": F.col(segment), "part": part}), ["segment", "part"], signals, returns)
+    return spearman(rows.where(F.col("part").isNotNull()), ["segment", "part", "signal", "horizon"], "x", "y")
+
+
+def same_sign(overall: DataFrame, parts: DataFrame) -> DataFrame:
+    """``overall`` with n_parts, the parts that have a correlation, and same_sign, those of its own sign."""
+    signs = parts.groupBy(*CELL).agg(F.count("ic").alias("n_parts"), F.count_if(F.col("ic") > 0).alias("_up"), F.count_if(F.col("ic") < 0).alias("_down"))
+    same = F.when(F.col("ic") > 0, F.col("_up")).when(F.col("ic") < 0, F.col("_down"))
+    out = overall.join(signs, CELL, "left")
+    return out.withColumns({"n_parts": F.coalesce("n_parts", F.lit(0)), "same_sign": F.coalesce(same, F.lit(0))}).drop("_up", "_down")
+
+
+def parts_needed(n: Column, usual: int = 3) -> Column:
+    """Parts of one sign that a stable cell needs: ``usual``, or three quarters of fewer than four."""
+    return F.when(n >= 4, F.lit(usual)).otherwise(F.greatest(F.lit(1), F.bround(n * 0.75).cast("int")))
+
+
+def pivoted(cells: DataFrame, parts: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``cells`` with a column ic_<part> for each of the named parts."""
+    wide = parts.groupBy(*CELL).pivot("part", list(names)).agg(F.first("ic"))
+    return cells.join(wide.withColumnsRenamed({n: f"ic_{n}" for n in names}), CELL, "left")
 
 
 def coverage(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -78,7 +78,7 @@ def bucket(df: DataFrame, by: Sequence[str], value: str, n_buckets: int = 10, ou
 def winsorize(df: DataFrame, by: Sequence[str], value: str, lower: float = 0.01, upper: float = 0.99, out: str = "clipped", least: int = 5) -> DataFrame:
     """``df`` with values clipped to the quantiles of their group; unchanged in null or small groups."""
     bounds = quantiles(df, by, value, [lower, upper], "__tm_b").withColumnRenamed("n", "__tm_n")
-    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() != out.lower() or c == value])
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() != out.lower() or c.lower() == value.lower()])
     joined = _attach(df, bounds, by)
     v = F.col(value).cast("double")
     known = F.lit(True)

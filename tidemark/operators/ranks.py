@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -46,7 +47,10 @@ def value_ranks(df: DataFrame, by: Sequence[str], value: str, bands: int = BANDS
 
 def with_rank(df: DataFrame, by: Sequence[str], value: str, out: str, count: str | None = None) -> DataFrame:
     """``df`` with the average rank of ``value`` in its group; null for null."""
-    r = value_ranks(df, by, value)
+    return _attach(df, value_ranks(df, by, value), by, value, out, count)
+
+
+def _attach(df: DataFrame, r: DataFrame, by: Sequence[str], value: str, out: str, count: str | None = None) -> DataFrame:
     keys = [*by, value]
     side = r.select(*[F.col(c).alias("__tm_r_" + c) for c in keys], F.col("rank").alias(out), *([F.col("n").alias(count)] if count else []))
     cond = F.col(value) == F.col("__tm_r_" + value)
@@ -62,6 +66,29 @@ def percentile_rank(df: DataFrame, value: str, out: str, by: Sequence[str] = (),
     return ranked.withColumn(out, 1 - p if flip else p).drop("__tm_rank", "__tm_count")
 
 
+@dataclass(frozen=True)
+class SignalSpec:
+    """One part of a composite: a column, whether high values are good (``asc``) or bad (``desc``), and a positive weight."""
+
+    column: str
+    direction: str = "asc"
+    weight: float = 1.0
+
+    def __post_init__(self) -> None:
+        if self.direction not in ("asc", "desc"):
+            raise ValueError("direction is asc or desc")
+        if not self.weight > 0:
+            raise ValueError("a weight must be positive")
+
+
+def blend(df: DataFrame, specs: Sequence[SignalSpec], out: str, by: Sequence[str] = (), partial: bool = False) -> DataFrame:
+    """``df`` with the weighted mean of the percentile ranks of several columns within ``by``."""
+    for i, s in enumerate(specs):
+        df = percentile_rank(df, s.column, f"__tm_p{i}", by, s.direction == "desc")
+    score = composite([(F.col(f"__tm_p{i}"), s.weight) for i, s in enumerate(specs)], partial)
+    return df.withColumn(out, score).drop(*[f"__tm_p{i}" for i in range(len(specs))])
+
+
 def composite(parts: Sequence[tuple[Column, float]], partial: bool = False) -> Column:
     """Weighted mean of parts; null if any is null, or over those present if ``partial``."""
     if not parts or any(w <= 0 for _, w in parts):
@@ -78,7 +105,8 @@ def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, least: int = 3) -
     """(by, n, ic): rank correlation of the rows with both values; null under ``least`` rows or without variation."""
     pairs = df.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
     pairs = pairs.where(F.col("_x").isNotNull() & F.col("_y").isNotNull() & ~F.isnan("_x") & ~F.isnan("_y"))
-    ranked = with_rank(with_rank(pairs, by, "_x", "_rx"), by, "_y", "_ry")
+    # both rank tables come from the pairs alone, not one from the other's join
+    ranked = _attach(_attach(pairs, value_ranks(pairs, by, "_x"), by, "_x", "_rx"), value_ranks(pairs, by, "_y"), by, "_y", "_ry")
     spread = F.stddev_pop("_rx") * F.stddev_pop("_ry")
     ic = F.covar_pop("_rx", "_ry") / F.when(spread > 0, spread)
     grouped = ranked.groupBy(*by) if by else ranked.groupBy()

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import exprs as x
+from tidemark.materialize import stored
 from tidemark.operators import bars, ic, portfolio
 from tidemark.operators.quantiles import bucket, winsorize
-from tidemark.operators.ranks import composite, p_value, percentile_rank, spearman
+from tidemark.operators.ranks import SignalSpec, blend, composite, p_value, percentile_rank, spearman
 from tidemark.plans import event_sql as q
 from tidemark.plans import event_tables as t
 from tidemark.plans import phases
@@ -200,11 +201,24 @@ def ic_by_year(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ALL = {h: f"excess_return_{h}d" for h in t.HORIZONS}
+_SUMMED = [*SIGNALS, "obligation_ratio", "acv_alpha_ratio"]
+_SUMMARY = (
+    f"WITH {q.VALIDATED}, {q.ic(q.cells('validated', '', _SUMMED, _ALL), 'signal, horizon')}, m AS (SELECT *, signal || ' ' || horizon AS cell FROM cells), {q.qcut('m', 'x', 'cell')}, "
+    "b AS (SELECT signal, horizon, bucket, avg(y) AS mean FROM cut WHERE bucket IS NOT NULL GROUP BY ALL), "
+    "spread AS (SELECT signal, horizon, CASE WHEN max(bucket) > min(bucket) THEN round(max_by(mean, bucket) - min_by(mean, bucket), 6) + 0.0 END AS top_minus_bottom FROM b GROUP BY ALL), "
+    "summary AS (SELECT i.*, top_minus_bottom FROM ics i LEFT JOIN spread USING (signal, horizon))"
+)
+
 
+def _summary(spark: SparkSession, d: str) -> DataFrame:
+    v = t.validated(spark, d)
+    spread = portfolio.top_minus_bottom(portfolio.bucket_returns(ic.long_form(v, [], _SUMMED, _ALL), ["signal", "horizon"], "x", "y"), ["signal", "horizon"])
+    return rounded(ic.ic_table(v, None, _SUMMED, _ALL).join(spread, ["signal", "horizon"], "left"), "ic", "top_minus_bottom")
 
-@query(_ic("", "signal, horizon", returns=_ALL, signals=[*SIGNALS, "obligation_ratio", "acv_alpha_ratio"]))
+
+@query(f"{_SUMMARY} SELECT * FROM summary")
 def ic_summary_matrix(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(ic.ic_table(t.validated(spark, d), None, [*SIGNALS, "obligation_ratio", "acv_alpha_ratio"], _ALL), "ic")
+    return _summary(spark, d)
 
 
 def _population(name: str, condition: str) -> str:
@@ -227,48 +241,97 @@ def quality_vs_all_ic(spark: SparkSession, d: str) -> DataFrame:
     return _populations(t.validated(spark, d), "ok", F.col("signal_quality") == "ok")
 
 
-_STABLE = (
-    f"WITH {q.VALIDATED}, v AS (SELECT *, industry AS segment FROM validated WHERE industry IS NOT NULL), "
-    + q.ic(q.cells("v", "segment", SIGNALS, RETURNS), "segment, signal, horizon")
-    + ", "
-    + q.ic(q.cells("v", "segment, fiscal_quarter", SIGNALS, RETURNS), "segment, fiscal_quarter, signal, horizon").replace("cells", "cells2").replace("ranked", "ranked2").replace("ics", "ics2")
-    + ", g AS (SELECT segment, signal, horizon, count(*) FILTER (ic > 0) AS up, count(*) FILTER (ic < 0) AS down FROM ics2 WHERE fiscal_quarter <> 'UNKNOWN' GROUP BY ALL)"
-    " SELECT segment, signal, horizon, n, ic, CASE WHEN ic > 0 THEN up ELSE down END AS same_sign FROM ics JOIN g USING (segment, signal, horizon)"
-    " WHERE abs(ic) >= 0.02 AND n >= 200 AND CASE WHEN ic > 0 THEN up ELSE down END >= 3"
-)
+def _two(source: str, part: str, signals: list[str], returns: dict[int, str]) -> str:
+    """Correlations of segments (ics) and of their parts (ics2), and how many parts share the sign of the whole (cells3)."""
+    parts = q.ic(q.cells(f"(SELECT *, {part} AS part FROM {source} WHERE {part} NOT IN ('UNKN', 'UNKNOWN'))", "segment, part", signals, returns), "segment, part, signal, horizon")
+    return (
+        q.ic(q.cells(source, "segment", signals, returns), "segment, signal, horizon") + ", " + parts.replace("cells", "cells2").replace("ranked", "ranked2").replace("ics", "ics2")
+        + ", g AS (SELECT segment, signal, horizon, count(ic) AS n_parts, count(*) FILTER (ic > 0) AS up, count(*) FILTER (ic < 0) AS down FROM ics2 GROUP BY ALL), "
+        "cells3 AS (SELECT segment, signal, horizon, n, ic, coalesce(n_parts, 0) AS n_parts, coalesce(CASE WHEN ic > 0 THEN up WHEN ic < 0 THEN down END, 0) AS same_sign FROM ics LEFT JOIN g USING (segment, signal, horizon))"
+    )
+
+
+_INDUSTRY = "v AS (SELECT *, industry AS segment FROM validated WHERE industry IS NOT NULL AND industry IN (SELECT industry FROM validated GROUP BY 1 HAVING count(*) >= 200))"
+_QUARTERS = "CASE WHEN (SELECT count(DISTINCT fiscal_quarter) FROM validated WHERE fiscal_quarter <> 'UNKNOWN') >= 4 THEN 3 ELSE greatest(1, round_even(0.75 * (SELECT count(DISTINCT fiscal_quarter) FROM validated WHERE fiscal_quarter <> 'UNKNOWN'), 0)) END"
+_STABLE = f"WITH {q.VALIDATED}, {_INDUSTRY}, {_two('v', 'fiscal_quarter', SIGNALS, RETURNS)}, kept AS (SELECT * FROM cells3 WHERE abs(ic) >= 0.02 AND same_sign >= {_QUARTERS})"
 
 
-@query(_STABLE)
+def _stable(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Industries of at least 200 rows: their stable cells, and the correlations of all their quarters."""
+    v = t.validated(spark, d)
+    large = v.where(F.col("industry").isNotNull()).groupBy("industry").agg(F.count("*").alias("_n")).where("_n >= 200").select("industry")
+    rows = v.join(F.broadcast(large), "industry")  # a row per industry
+    quarter = F.when(F.col("fiscal_quarter") != "UNKNOWN", F.col("fiscal_quarter"))
+    overall, parts = rounded(ic.ic_table(rows, F.col("industry"), SIGNALS, RETURNS), "ic"), rounded(ic.part_table(rows, "industry", quarter, SIGNALS, RETURNS), "ic")
+    needed = v.agg(F.countDistinct(quarter).alias("_q")).select(ic.parts_needed(F.col("_q")).alias("_needed"))
+    cells = ic.same_sign(overall, parts).join(F.broadcast(needed), F.lit(True))  # one row
+    return cells.where((F.abs("ic") >= 0.02) & (F.col("same_sign") >= F.col("_needed"))).drop("_needed"), parts
+
+
+@query(f"{_STABLE} SELECT * FROM kept")
 def stability_filter(spark: SparkSession, d: str) -> DataFrame:
-    v = t.validated(spark, d).where(F.col("industry").isNotNull())
-    overall = rounded(ic.ic_table(v, F.col("industry"), SIGNALS, RETURNS, 200), "ic")
-    rows = ic.long_form(v.withColumn("segment", F.col("industry")), ["segment", "fiscal_quarter"], SIGNALS, RETURNS)
-    quarters = spearman(rows, ["segment", "fiscal_quarter", "signal", "horizon"], "x", "y")
-    return ic.stable(overall, rounded(quarters, "ic"), "fiscal_quarter", 3)
+    return _stable(spark, d)[0]
 
 
-@query(_ic("event_class AS segment", "segment, signal, horizon", "event_class IN ('NEW_AWARD', 'NEW_DELIVERY_ORDER', 'MAJOR_EXPANSION', 'MODERATE_EXPANSION', 'MINOR_EXPANSION', 'CONTRACTION')", 100))
-def event_class_ic(spark: SparkSession, d: str) -> DataFrame:
-    v = t.validated(spark, d).where(F.col("event_class").isin(CLASSES))
-    return rounded(ic.ic_table(v, F.col("event_class"), SIGNALS, RETURNS, 100), "ic")
+@query(f"{_STABLE} SELECT segment, signal, horizon, part AS fiscal_quarter, i.n, i.ic FROM ics2 i SEMI JOIN kept USING (segment, signal, horizon)")
+def stability_quarters(spark: SparkSession, d: str) -> DataFrame:
+    kept, parts = _stable(spark, d)
+    return parts.join(kept, ic.CELL, "left_semi").withColumnRenamed("part", "fiscal_quarter")
 
 
+_EVENT_SIGNALS = ["alpha_ratio", "acv_alpha_ratio", "contract_potential_yield", "moat_index", "difference_between_obligated_and_potential"]
 _MAGNITUDES = ["ceiling_change_log_dollars", "ceiling_change_pct_of_mcap", "relative_ceiling_change"]
+_EVENT_RETURNS = {h: f"industry_excess_return_{h}d" for h in (5, 20, 60, 120, 180)}
+_IN_CLASSES = "event_class IN (" + ", ".join(f"'{c}'" for c in CLASSES) + ")"
+_YEAR = "substr(fiscal_quarter, 1, 4)"
+
+
+def _event_sql(signals: list[str]) -> str:
+    return f"WITH {q.VALIDATED}, v AS (SELECT *, event_class AS segment FROM validated WHERE {_IN_CLASSES}), {_two('v', _YEAR, signals, _EVENT_RETURNS)}"
 
 
-@query(_ic("event_class AS segment", "segment, signal, horizon", "event_class IN ('MAJOR_EXPANSION', 'MODERATE_EXPANSION', 'MINOR_EXPANSION', 'CONTRACTION')", 50, _MAGNITUDES))
+def _event_cells(spark: SparkSession, d: str, signals: list[str], years_needed: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Cells by event class, signal and horizon with ``kept``: |ic| of at least 0.02 and so many years of its sign; and the years' correlations."""
+    v = t.validated(spark, d).where(F.col("event_class").isin(CLASSES))
+    year = F.substring("fiscal_quarter", 1, 4)
+    years = rounded(ic.part_table(v, "event_class", F.when(year != "UNKN", year), signals, _EVENT_RETURNS), "ic")
+    cells = ic.same_sign(rounded(ic.ic_table(v, F.col("event_class"), signals, _EVENT_RETURNS), "ic"), years)
+    return cells.withColumn("kept", F.coalesce((F.abs("ic") >= 0.02) & (F.col("same_sign") >= years_needed), F.lit(False))), years
+
+
+_KEPT = "coalesce(abs(ic) >= 0.02 AND same_sign >= 5, FALSE) AS kept"
+
+
+@query(f"{_event_sql(_EVENT_SIGNALS)} SELECT *, {_KEPT} FROM cells3 WHERE segment IN (SELECT segment FROM v GROUP BY 1 HAVING count(*) >= 100)")
+def event_class_ic(spark: SparkSession, d: str) -> DataFrame:
+    """Classes of at least 100 rows; the report shows the cells that are kept."""
+    large = t.validated(spark, d).groupBy(F.col("event_class").alias("segment")).agg(F.count("*").alias("_n")).where("_n >= 100").select("segment")
+    return _event_cells(spark, d, _EVENT_SIGNALS)[0].join(F.broadcast(large), "segment", "left_semi")  # a row per class
+
+
+@query(f"{_event_sql(_EVENT_SIGNALS)} SELECT segment, signal, horizon, part AS fiscal_year, n, ic FROM ics2")
+def event_class_year_ic(spark: SparkSession, d: str) -> DataFrame:
+    return _event_cells(spark, d, _EVENT_SIGNALS)[1].withColumnRenamed("part", "fiscal_year")
+
+
+_FILLED = " UNION ALL ".join(f"SELECT segment, '{m}' AS signal FROM v GROUP BY 1 HAVING count({m}) >= 100" for m in _MAGNITUDES)
+
+
+@query(f"{_event_sql(_MAGNITUDES)}, filled AS ({_FILLED}) SELECT *, {_KEPT} FROM cells3 SEMI JOIN filled USING (segment, signal)")
 def event_magnitude_ic(spark: SparkSession, d: str) -> DataFrame:
-    v = t.validated(spark, d).where(F.col("event_class").isin(CLASSES[2:]))
-    return rounded(ic.ic_table(v, F.col("event_class"), _MAGNITUDES, RETURNS, 50), "ic")
+    """Classes in which at least 100 rows have the measure."""
+    counts = t.validated(spark, d).groupBy(F.col("event_class").alias("segment")).agg(*[F.count(m).alias(m) for m in _MAGNITUDES])
+    filled = counts.unpivot("segment", _MAGNITUDES, "signal", "_n").where("_n >= 100").select("segment", "signal")
+    return _event_cells(spark, d, _MAGNITUDES)[0].join(F.broadcast(filled), ["segment", "signal"], "left_semi")
 
 
-@query(
-    _ic("coalesce(sector, 'UNKNOWN') AS segment", "segment, signal, horizon", least=30).replace("SELECT * FROM ics WHERE n >= 30", "SELECT 'weak' AS criterion, * FROM ics WHERE n >= 30 AND abs(ic) >= 0.02 UNION ALL SELECT 'strong' AS criterion, * FROM ics WHERE n >= 30 AND abs(ic) >= 0.05")
-)
+_CRITERIA = {"weak": "abs(ic) >= 0.02", "strong": "abs(ic) >= 0.05", "weak with spread": "abs(ic) >= 0.02 AND abs(top_minus_bottom) >= 0.005"}
+
+
+@query(f"{_SUMMARY} " + " UNION ALL ".join(f"SELECT '{k}' AS criterion, * FROM summary WHERE {c}" for k, c in _CRITERIA.items()))
 def decision_criteria(spark: SparkSession, d: str) -> DataFrame:
-    table = rounded(ic.ic_table(t.validated(spark, d), F.col("sector"), SIGNALS, RETURNS, 30), "ic")
-    criteria = F.array(F.when(F.abs("ic") >= 0.02, F.lit("weak")), F.when(F.abs("ic") >= 0.05, F.lit("strong")))
-    return table.withColumn("criterion", F.explode(F.array_compact(criteria)))
+    met = F.array(*[F.when(F.expr(c), F.lit(k)) for k, c in _CRITERIA.items()])
+    return _summary(spark, d).withColumn("criterion", F.explode(F.array_compact(met)))
 
 
 _PAIRS = [("ceiling_change_pct_of_mcap", "moat_index"), ("ceiling_change_pct_of_mcap", "relative_ceiling_change"), ("moat_index", "relative_ceiling_change")]
@@ -306,21 +369,26 @@ def top_minus_bottom(spark: SparkSession, d: str) -> DataFrame:
 _CLASS_LIST = ", ".join(f"'{c}'" for c in CLASSES)
 
 
-def _in_class(signal: str, source: str = "validated", ret: str = "return_20d") -> str:
-    return f"""v AS (SELECT *, event_class AS variant FROM {source} WHERE event_class IN ({_CLASS_LIST}) AND {signal} IS NOT NULL AND {ret} IS NOT NULL),
-{q.qcut("v", signal, "variant")}, topped AS (SELECT *, max(bucket) OVER (PARTITION BY variant) AS hi FROM cut),
+def _traded(v: str, signal: str, ret: str = "return_20d") -> str:
+    """Trades of the buckets of the relation ``v``, which has a column variant."""
+    return f"""v AS ({v}), {q.qcut("v", signal, "variant")}, topped AS (SELECT *, max(bucket) OVER (PARTITION BY variant) AS hi FROM cut),
 sided AS (SELECT *, CASE WHEN bucket = hi THEN 'long' WHEN bucket = 1 THEN 'short' END AS side FROM topped WHERE hi >= 2),
 trades AS (SELECT variant, reference_trading_date, substr(fiscal_quarter, 1, 4) AS fiscal_year, ticker, side, {signal} AS signal_value,
   CASE side WHEN 'long' THEN {ret} ELSE -{ret} END AS gross_return, CASE side WHEN 'long' THEN {ret} ELSE -{ret} END - 0.0015 AS net_return,
   CASE side WHEN 'long' THEN 1.0 ELSE -1.0 END / count(*) OVER (PARTITION BY variant, side) AS weight FROM sided WHERE side IS NOT NULL)"""
 
 
+def _in_class(signal: str, source: str = "validated", ret: str = "return_20d") -> str:
+    return _traded(f"SELECT *, event_class AS variant FROM {source} WHERE event_class IN ({_CLASS_LIST}) AND {signal} IS NOT NULL AND {ret} IS NOT NULL", signal, ret)
+
+
 _MONEY = ["signal_value", "gross_return", "net_return", "weight"]
 _TRADE_OUT = f"SELECT variant, reference_trading_date, fiscal_year, ticker, side, round(signal_value, 9) AS signal_value, {r(_MONEY[1:], 9)} FROM trades"
 
 
 def _trades(spark: SparkSession, d: str) -> DataFrame:
-    return portfolio.in_class_trades(t.validated(spark, d), "ceiling_change_pct_of_mcap", "return_20d", "event_class", CLASSES)
+    """Kept, since every summary reads them: once for all years and once by year."""
+    return t.kept(spark, d, "in-class-trades", lambda: portfolio.in_class_trades(t.validated(spark, d), "ceiling_change_pct_of_mcap", "return_20d", "event_class", CLASSES))
 
 
 @query(f"WITH {q.VALIDATED}, {_in_class('ceiling_change_pct_of_mcap')} {_TRADE_OUT}")
@@ -354,8 +422,8 @@ def _stats(net: str, gross: str, scale: str) -> str:
 _COUNTS = "count(*) AS n_trades, count(*) FILTER (side = 'long') AS n_long, count(*) FILTER (side = 'short') AS n_short"
 
 
-def _per_trade(by: str) -> str:
-    return f"summary AS (SELECT {by}, {_COUNTS}, {_stats('net_return', 'gross_return', '252 / 20.0')}, count(*) AS n_periods FROM trades GROUP BY {by})"
+def _per_trade(by: str, hold: str = "20.0") -> str:
+    return f"summary AS (SELECT {by}, {_COUNTS}, {_stats('net_return', 'gross_return', f'252 / {hold}')}, count(*) AS n_periods FROM trades GROUP BY {by})"
 
 
 def _summary_out(by: str) -> str:
@@ -385,52 +453,88 @@ def summary_by_year(spark: SparkSession, d: str) -> DataFrame:
 
 
 _SAME = "years AS (SELECT variant, count(net_mean) AS n_years, count(*) FILTER (net_mean > 0) AS n_positive, count(*) FILTER (net_mean < 0) AS n_negative, count(*) FILTER (net_mean = 0) AS n_zero FROM by_year GROUP BY 1)"
+_VARIANT_OUT = ["variant", "n_trades", "gross_mean", "net_mean", "net_stddev", "sharpe", "hit_rate", "n_years", "n_positive", "n_negative", "pass_sharpe", "pass_years", "passes"]
+_VARIANT_STATS = ["gross_mean", "net_mean", "net_stddev", "sharpe", "hit_rate"]
+
+
+def _years(hold: str = "20.0") -> str:
+    return f"{_per_trade('variant, fiscal_year', hold).replace('summary AS', 'by_year AS')}, {_SAME}"
+
+
+def _variants(trades: str, hold: str = "20.0") -> str:
+    """Summary rows of variants with their pass flags: a Sharpe ratio of 0.5, five years of one sign."""
+    return (
+        f"{trades}, {_years(hold)}, {_per_trade('variant', hold)} SELECT variant, n_trades, {r(_VARIANT_STATS)}, n_years, n_positive, n_negative, coalesce(sharpe >= 0.5, FALSE) AS pass_sharpe, "
+        "greatest(n_positive, n_negative) >= 5 AS pass_years, coalesce(sharpe >= 0.5, FALSE) AND greatest(n_positive, n_negative) >= 5 AS passes FROM summary JOIN years USING (variant)"
+    )
+
 
+def _variant_table(trades: DataFrame, hold=20) -> DataFrame:
+    years = portfolio.same_sign(portfolio.summary_per_trade(trades, ["variant", "fiscal_year"], hold))
+    return rounded(portfolio.variant_rows(portfolio.summary_per_trade(trades, hold_days=hold), years), *_VARIANT_STATS).select(*_VARIANT_OUT)
 
-@query(f"WITH {q.VALIDATED}, {_in_class('ceiling_change_pct_of_mcap')}, {_per_trade('variant, fiscal_year').replace('summary AS', 'by_year AS')}, {_SAME} SELECT * FROM years")
+
+@query(f"WITH {q.VALIDATED}, {_in_class('ceiling_change_pct_of_mcap')}, {_years()} SELECT * FROM years")
 def same_sign_years(spark: SparkSession, d: str) -> DataFrame:
     return portfolio.same_sign(portfolio.summary_per_trade(_trades(spark, d), ["variant", "fiscal_year"]))
 
 
-@query(
-    f"WITH {q.VALIDATED}, {_in_class('ceiling_change_pct_of_mcap')}, {_per_trade('variant, fiscal_year').replace('summary AS', 'by_year AS')}, {_SAME}, {_per_trade('variant')} "
-    "SELECT variant, n_trades, round(net_mean, 6) AS net_mean, round(sharpe, 6) AS sharpe, n_years, n_positive, n_negative, coalesce(sharpe >= 0.5, FALSE) AS pass_sharpe, greatest(n_positive, n_negative) >= 3 AS pass_years, coalesce(sharpe >= 0.5, FALSE) AND greatest(n_positive, n_negative) >= 3 AS passes FROM summary JOIN years USING (variant)"
-)
+@query(f"WITH {q.VALIDATED}, {_variants(_in_class('ceiling_change_pct_of_mcap'))}")
 def variant_matrix(spark: SparkSession, d: str) -> DataFrame:
-    trades = _trades(spark, d)
-    years = portfolio.same_sign(portfolio.summary_per_trade(trades, ["variant", "fiscal_year"]))
-    rows = portfolio.variant_rows(portfolio.summary_per_trade(trades), years, years_needed=3)
-    return rounded(rows, "net_mean", "sharpe").select("variant", "n_trades", "net_mean", "sharpe", "n_years", "n_positive", "n_negative", "pass_sharpe", "pass_years", "passes")
+    return _variant_table(_trades(spark, d))
 
 
-_LIMITS = [5e7, 1e8, 5e8]
-_SWEEP = f"swept AS (SELECT v.* EXCLUDE (event_class), {q.EVENT_CLASS.format(major='major_limit')} || ' above ' || CAST(CAST(major_limit AS BIGINT) AS VARCHAR) AS event_class, major_limit FROM validated v, (SELECT unnest([5e7, 1e8, 5e8]) AS major_limit))"
+_LIMITS = [5e7, 1e8, 2e8, 5e8, 1e9]
+_MAJOR = "SELECT *, 'above ' || CAST(CAST(major_limit AS BIGINT) AS VARCHAR) AS variant FROM validated, (SELECT unnest([5e7, 1e8, 2e8, 5e8, 1e9]) AS major_limit) WHERE transaction_type = 'FUNDING_INCREASE' AND ceiling_change > major_limit"
+_SWEPT = ("ceiling_change_pct_of_mcap", "industry_excess_return_20d")
 
 
-@query(
-    f"WITH {q.VALIDATED}, {_SWEEP}, "
-    + _in_class("relative_ceiling_change", "(SELECT * FROM swept WHERE starts_with(event_class, 'MAJOR') OR starts_with(event_class, 'MODERATE'))").replace(f"event_class IN ({_CLASS_LIST}) AND ", "")
-    + f", {_per_trade('variant')} {_summary_out('variant')}"
-)
+def _swept(spark: SparkSession, d: str) -> DataFrame:
+    """Major expansions at every limit: each limit is a variant."""
+    v = t.validated(spark, d).withColumn("_limit", F.explode(F.array(*[F.lit(x) for x in _LIMITS])))
+    v = v.where(phases.event_class(F.col("_limit")) == "MAJOR_EXPANSION")
+    return v.withColumn("variant", F.concat(F.lit("above "), F.col("_limit").cast("long").cast("string")))
+
+
+@query(f"WITH {q.VALIDATED}, {_variants(_traded(f'SELECT * FROM ({_MAJOR}) WHERE {_SWEPT[0]} IS NOT NULL AND {_SWEPT[1]} IS NOT NULL', *_SWEPT))}")
 def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
-    v = t.validated(spark, d).withColumn("major_limit", F.explode(F.array(*[F.lit(x) for x in _LIMITS])))
-    name = F.concat(phases.event_class(F.col("major_limit")), F.lit(" above "), F.col("major_limit").cast("long").cast("string"))
-    v = v.withColumn("event_class", name)
-    wanted = [f"{c} above {int(m)}" for c in ("MAJOR_EXPANSION", "MODERATE_EXPANSION") for m in _LIMITS]
-    return rounded(portfolio.summary_per_trade(portfolio.in_class_trades(v, "relative_ceiling_change", "return_20d", "event_class", wanted)), *_STATS)
+    return _variant_table(stored(portfolio.bucket_trades(_swept(spark, d), *_SWEPT), "sweep-trades"))
+
 
+@query(f"WITH {q.VALIDATED} SELECT variant, count(*) AS n_qualified FROM ({_MAJOR}) GROUP BY 1")
+def threshold_sweep_rows(spark: SparkSession, d: str) -> DataFrame:
+    return _swept(spark, d).groupBy("variant").agg(F.count("*").alias("n_qualified"))
 
-_BLEND = (
-    f"blended AS (SELECT *, ({_PRANK.format(c='ceiling_change_pct_of_mcap')} + 1 - {_PRANK.format(c='moat_index')}) / 2 AS blend FROM validated WHERE event_class = 'MINOR_EXPANSION')"
+
+_SPECS = [SignalSpec("ceiling_change_pct_of_mcap", "asc", 1.0), SignalSpec("moat_index", "desc", 1.0)]
+_BLENDED = {"composite": "blend", "pct_of_mcap": "ceiling_change_pct_of_mcap", "moat_index": "moat_index"}
+_BLEND = f"blended AS (SELECT *, ({_PRANK.format(c='ceiling_change_pct_of_mcap')} + 1 - {_PRANK.format(c='moat_index')}) / 2 AS blend FROM validated WHERE event_class = 'MAJOR_EXPANSION')"
+_BLEND_ROWS = " UNION ALL ".join(
+    f"SELECT *, '{n}-T{h}' AS variant, CAST({c} AS DOUBLE) AS x, industry_excess_return_{h}d AS y FROM blended WHERE {c} IS NOT NULL AND industry_excess_return_{h}d IS NOT NULL" for h in (20, 120) for n, c in _BLENDED.items()
 )
+_HOLD = "(CASE WHEN ends_with(variant, 'T120') THEN 120.0 ELSE 20.0 END)"
 
 
-@query(f"WITH {q.VALIDATED}, {_BLEND}, {_in_class('blend', 'blended')}, {_per_trade('variant')} {_summary_out('variant')}")
+@query(f"WITH {q.VALIDATED}, {_BLEND}, {_variants(_traded(_BLEND_ROWS, 'x', 'y'), _HOLD)}")
 def blend_variants(spark: SparkSession, d: str) -> DataFrame:
-    v = t.validated(spark, d).where("event_class = 'MINOR_EXPANSION'")
-    v = percentile_rank(percentile_rank(v, "ceiling_change_pct_of_mcap", "_a"), "moat_index", "_b", flip=True)
-    v = v.withColumn("blend", composite([(F.col("_a"), 1.0), (F.col("_b"), 1.0)]))
-    return rounded(portfolio.summary_per_trade(portfolio.in_class_trades(v, "blend", "return_20d", "event_class", ["MINOR_EXPANSION"])), *_STATS)
+    """Three signals by two holding periods within major expansions; the composite is ranked within the class."""
+    v = t.validated(spark, d).where("event_class = 'MAJOR_EXPANSION'").select("reference_trading_date", "fiscal_quarter", "ticker", "ceiling_change_pct_of_mcap", "moat_index", *[f"industry_excess_return_{h}d" for h in (20, 120)])
+    v = stored(blend(v, _SPECS, "blend"), "blended")
+    cells = [F.struct(F.lit(f"{n}-T{h}").alias("variant"), F.col(c).cast("double").alias("x"), F.col(f"industry_excess_return_{h}d").alias("y")) for h in (20, 120) for n, c in _BLENDED.items()]
+    rows = v.select("reference_trading_date", "fiscal_quarter", "ticker", F.explode(F.array(*cells)).alias("_c")).select("*", "_c.*").drop("_c")
+    return _variant_table(stored(portfolio.bucket_trades(rows, "x", "y"), "blend-trades"), F.when(F.col("variant").endswith("T120"), 120.0).otherwise(20.0))
+
+
+_CLIPPED = (
+    "bounds AS (SELECT event_class, quantile_cont(relative_ceiling_change, 0.01) AS lo, quantile_cont(relative_ceiling_change, 0.99) AS hi, count(relative_ceiling_change) AS n FROM validated GROUP BY 1), "
+    "clipped AS (SELECT v.* EXCLUDE (relative_ceiling_change), CASE WHEN n >= 5 AND relative_ceiling_change IS NOT NULL THEN least(greatest(relative_ceiling_change, lo), hi) ELSE relative_ceiling_change END AS relative_ceiling_change FROM validated v JOIN bounds USING (event_class))"
+)
+
+
+@query(f"WITH {q.VALIDATED}, {_CLIPPED}, " + _in_class("relative_ceiling_change", "clipped").replace(f"IN ({_CLASS_LIST})", "= 'MINOR_EXPANSION'") + f", {_per_trade('variant')} {_summary_out('variant')}")
+def winsorized_backtest(spark: SparkSession, d: str) -> DataFrame:
+    test = portfolio.run_backtest(t.validated(spark, d), "relative_ceiling_change", "return_20d", "event_class", framing="in_class", target_class="MINOR_EXPANSION", winsorized=True)
+    return rounded(test.summary, *_STATS)
 
 
 @query(f"WITH {q.VALIDATED} SELECT ticker, count(*) AS n, round(avg(return_20d), 6) AS mean_return, row_number() OVER (ORDER BY count(*) DESC, ticker) AS place FROM validated GROUP BY ticker")

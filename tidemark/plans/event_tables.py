@@ -13,7 +13,7 @@ from tidemark.plans import phases
 from tidemark.session import table
 
 KEY = "contract_transaction_unique_key"
-HORIZONS = (1, 5, 20, 60)
+HORIZONS = (1, 5, 20, 60, 90, 120, 180)
 _kept: dict[tuple[str, str, str], DataFrame] = {}
 
 
