@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import exprs as x
-from tidemark.operators import state
+from tidemark.operators import bad_rows, state
 from tidemark.plans import phases, render
 from tidemark.schemas import RAW_TRANSACTION
 from tidemark.sources import files, html_pages, providers, tables
@@ -127,7 +127,10 @@ def test_files_and_tables(spark, tmp_path, rows):
     house = tables.Warehouse(spark, str(tmp_path / "house"))
     house.save(got, "t", "cache", view=True)
     house.save(house.read("t", "cache").where("key > '007'"), "t", "cache")
-    assert house.read("t", "cache").count() == 2 and not house.exists("t") and len(os.listdir(tmp_path / "house/cache/t")) <= 4
+    assert house.read("t", "cache").count() == 2 and not house.exists("t") and house.vacuum("t", "cache") >= 1 and house.read("t", "cache").count() == 2
+    (tmp_path / "c.csv").write_text('key,money,extra\n1,2.5,x\n2,bad,y\n3,"4\n4,5,6,7\n')
+    good, bad = files.scan_checked(spark, [f"{tmp_path}/c.csv"], T.StructType(schema.fields[:2]), {"money": bad_rows.plain_number})
+    assert rows(good, "key", "money") == [("1", 2.5)] and rows(bad, "raw_record", "reason") == sorted([("2,bad,y", "invalid_value"), ('3,"4', "quoting"), ("4,5,6,7", "column_count")], key=repr)
     tables.backup(house, ["t", "none"], "cache", str(tmp_path / "backup"))
     house.drop("t", "cache")
     assert tables.restore(house, "t", "cache", str(tmp_path / "backup"), ["key"], ["money"]).count() == 2
@@ -185,3 +188,21 @@ def test_stream(spark, tmp_path, rows):
     (tmp_path / "in/2.csv").write_text("k,v\na,0\nc,7\n")
     run()
     assert rows(house.read("t")) == [("a", 1), ("b", 5), ("c", 7)]
+
+
+def test_negative_caching(spark, rows):
+    wanted = spark.createDataFrame([("a",), ("b",), ("c",), (None,), ("a",)], "owner string")
+    cache = spark.createDataFrame([("b", None, "not_found")], "owner string, ticker string, status string")
+    answers = spark.createDataFrame([("a", "AAA"), ("a", "AAB"), ("b", "BBB")], "owner string, ticker string")
+    assert rows(state.settle(wanted, cache, answers, ["owner"]), "owner", "ticker", "status") == [("a", "AAB", "success"), ("c", None, "not_found")]
+
+
+def test_all_phases_give_the_columns_of_the_contract(spark, small):
+    from tidemark import schemas
+    from tidemark.plans import event_tables, relational_queries
+
+    out = phases.run(event_tables.raw(spark, small), **relational_queries.caches(spark, small), least_total=1e6)
+    assert out.columns == schemas.SIGNALLED and len(schemas.SIGNALLED) == 69 and len(schemas.THEMED) == 49 and len(schemas.ENRICHED) == 43
+    kinds = dict(out.dtypes)
+    assert kinds["theme_llm"] == kinds["ticker"] == "string" and kinds["is_public"] == "boolean" and kinds["market_cap"] == "double"
+    assert spark.range(1).select(*[phases.sole_source(F.lit(v).cast("double")) for v in (1.0, 2.0, 0.0, None)]).first() == (True, False, None, None)

@@ -1,4 +1,5 @@
 import random
+from datetime import date
 
 import numpy as np
 import pandas as pd
@@ -125,3 +126,39 @@ def test_buckets_pnl_and_trades(spark):
     cross = portfolio.cross_class_trades(df, "s", "r", "c", "C", "D").collect()
     assert len(cross) == 40 and all(t.net_return == pytest.approx(t.gross_return - 0.0015) for t in cross)
     assert portfolio.cross_class_trades(df, "s", "r", "c", "C", "none").count() == 0
+
+
+def test_signal_specs_and_blend(spark):
+    with pytest.raises(ValueError):
+        ranks.SignalSpec("a", "up")
+    with pytest.raises(ValueError):
+        ranks.SignalSpec("a", "asc", 0)
+    df = spark.createDataFrame([(1.0, 9.0), (2.0, 5.0), (3.0, 1.0), (4.0, None)], "a double, b double")
+    got = [r.s for r in ranks.blend(df, [ranks.SignalSpec("a"), ranks.SignalSpec("b", "desc", 3.0)], "s").orderBy("a").collect()]
+    assert got == [pytest.approx((0.2 + 3 * 0.25) / 4), pytest.approx((0.4 + 3 * 0.5) / 4), pytest.approx((0.6 + 3 * 0.75) / 4), None]
+
+
+def test_backtest_entry(spark):
+    rows = [(float(i), 0.01 * (i % 10), "C" if i < 100 else "D", date(2024, 1 + i % 12, 1), "FY24Q1", "T") for i in range(200)]
+    df = spark.createDataFrame(rows, "s double, r double, c string, reference_trading_date date, fiscal_quarter string, ticker string")
+    for bad in ({"framing": "x"}, {"framing": "in_class"}, {"framing": "cross_class", "long_class": "C"}):
+        with pytest.raises(ValueError):
+            portfolio.run_backtest(df, "s", "r", "c", **bad)
+    one = portfolio.run_backtest(df, "s", "r", "c", framing="in_class", target_class="C", winsorized=True)
+    assert one.summary.first().n_trades == 20 and one.deciles.count() == 10 and one.by_year.count() == 1 and one.config["target_class"] == "C"
+    assert {r.weight for r in one.trades.collect()} == {0.1, -0.1}
+    two = portfolio.run_backtest(df, "s", "r", "c", framing="cross_class", long_class="C", short_class="D")
+    assert two.summary.first().n_trades == 200 and two.summary.first().n_periods == 12 and two.deciles.count() == 0
+    assert portfolio.run_backtest(df.where("c = 'none'"), "s", "r", "c", framing="in_class", target_class="C").summary.count() == 0
+    flat = df.withColumn("s", F.lit(1.0))
+    assert portfolio.run_backtest(flat, "s", "r", "c", framing="in_class", target_class="C").trades.count() == 0
+
+
+def test_parts_of_one_sign(spark, rows):
+    cells = spark.createDataFrame([("a", "s", 20, 0.5), ("b", "s", 20, -0.5), ("c", "s", 20, None), ("d", "s", 20, 0.1)], "segment string, signal string, horizon int, ic double")
+    parts = spark.createDataFrame([("a", "s", 20, p, v) for p, v in (("q1", 0.1), ("q2", -0.1), ("q3", 0.2), ("q4", None))] + [("b", "s", 20, "q1", -0.3)], "segment string, signal string, horizon int, part string, ic double")
+    assert rows(ic.same_sign(cells, parts), "segment", "n_parts", "same_sign") == [("a", 3, 2), ("b", 1, 1), ("c", 0, 0), ("d", 0, 0)]
+    need = spark.createDataFrame([(n,) for n in range(1, 25)], "n int").select(ic.parts_needed(F.col("n"))).collect()
+    assert [r[0] for r in need] == [1, 2, 2] + [3] * 21
+    wide = ic.pivoted(cells, parts, ["q1", "q2"])
+    assert rows(wide, "segment", "ic_q1", "ic_q2")[:2] == [("a", 0.1, -0.1), ("b", -0.3, None)]

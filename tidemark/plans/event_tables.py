@@ -14,12 +14,16 @@ from tidemark.session import table
 
 KEY = "contract_transaction_unique_key"
 HORIZONS = (1, 5, 20, 60, 90, 120, 180)
-_kept: dict[tuple[str, str, str], DataFrame] = {}
+_kept: dict[tuple, DataFrame] = {}
 
 
 def kept(spark: SparkSession, d: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table of a finished phase: written on first use, read afterwards."""
-    key = (spark.sparkContext.applicationId, d, name)
+    """The table of a finished phase: written on first use, read afterwards, built again when a file of the folder has changed."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(d)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    state = hash(tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files)))
+    key = (spark.sparkContext.applicationId, d, name, state)
     if key not in _kept:
         _kept[key] = stored(build(), name)
     return _kept[key]

@@ -2,46 +2,98 @@
 
 from __future__ import annotations
 
-import glob as globbing
+import csv
 import os
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.bad_rows import split_records
 
-def scan_csv(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | None = None, pinned: T.StructType | None = None) -> DataFrame:
+
+def _fs(spark: SparkSession, path: str):
+    """The file system of a path, and the path, as the JVM has them."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def header_of(spark: SparkSession, path: str) -> str:
+    """First line of a file, read by the driver alone; compressed files as Spark would read them."""
+    jvm = spark.sparkContext._jvm
+    fs, p = _fs(spark, path)
+    if fs.getFileStatus(p).isDirectory():  # what Spark writes: parts with a header each
+        parts = sorted(x.getPath().toString() for x in fs.listStatus(p) if x.getPath().getName()[0] not in "._" and x.getLen())
+        return header_of(spark, parts[0]) if parts else ""
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark.sparkContext._jsc.hadoopConfiguration()).getCodec(p)
+    raw = fs.open(p)
+    lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(raw) if codec else raw, "UTF-8"))
+    try:
+        return (lines.readLine() or "").removeprefix("\ufeff")
+    finally:
+        lines.close()
+
+
+def _names(header: str) -> list[str]:
+    return next(csv.reader([header]), [])
+
+
+def scan_csv(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | None = None, pinned: T.StructType | None = None, multi_line: bool = True) -> DataFrame:
     """One CSV file or several, with a header, aligned by column name.
 
     ``schema`` fixes all columns (nothing is inferred, only those are read). ``pinned``
     fixes the types of some and keeps the rest as text, so codes keep their zeros. Cells that
-    don't fit their type come out null; a column that a file lacks is null there.
+    don't fit their type come out null (``scan_checked`` keeps such records apart instead); a
+    column that a file lacks is null there. Files of equal header are one scan. With
+    ``multi_line`` a quoted field may hold line breaks and a file is one task; files without
+    any are split into many tasks if it is off.
     """
     some = [paths] if isinstance(paths, str) else list(paths)
     if not some:
         raise FileNotFoundError("no input files")
     types = {f.name: f.dataType for f in (schema or pinned or T.StructType())}
-
-    def one(path: str) -> DataFrame:
-        text = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
-        cols = [c for c in text.columns if schema is None or c in types]
+    alike: dict[str, list[str]] = {}
+    for path in some:
+        alike.setdefault(header_of(spark, path), []).append(path)
+
+    def one(header: str, files: list[str]) -> DataFrame:
+        names = _names(header)
+        text = spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in names])).option("header", True).option("quote", '"').option("escape", '"').option("multiLine", multi_line).csv(files)
+        cols = [c for c in names if schema is None or c in types]
         read = text.select(*[F.trim(F.col(f"`{c}`")).try_cast(types[c]).alias(c) if c in types and not isinstance(types[c], T.StringType) else F.col(f"`{c}`") for c in cols])
         if schema is not None:
             read = read.select(*[F.col(f.name) if f.name in cols else F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
         return read
 
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(one, some))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (one(h, f) for h, f in alike.items()))
 
 
-def scan_glob(spark: SparkSession, pattern: str, schema: T.StructType | None = None) -> DataFrame:
-    """All files of a local pattern in their order; an error if there is none."""
-    found = sorted(globbing.glob(pattern))
+def scan_checked(spark: SparkSession, paths: Sequence[str], schema: T.StructType, checks: Mapping[str, Callable[[Column], Column]]) -> tuple[DataFrame, DataFrame]:
+    """(typed rows, rejected records with their reason) of files of one header, a record a line: see ``operators.bad_rows``.
+
+    Both have the file's name; columns of the files that ``schema`` doesn't name are dropped. Other headers are an error.
+    """
+    headers = {header_of(spark, p) for p in paths}
+    if len(headers) != 1:
+        raise ValueError("files of one header are needed")
+    header = headers.pop()
+    kinds = {f.name: f.dataType for f in schema}
+    full = T.StructType([T.StructField(c, kinds.get(c, T.StringType())) for c in _names(header)])
+    lines = spark.read.text(list(paths)).where(F.col("value") != header).select(F.col("value").alias("raw_record"), F.input_file_name().alias("file"))
+    good, bad = split_records(lines, "raw_record", full, checks)
+    return good.select("file", *[c for c in schema.names if c in full.names]), bad
+
+
+def scan_glob(spark: SparkSession, pattern: str, schema: T.StructType | None = None, multi_line: bool = True) -> DataFrame:
+    """All files of a pattern in their order, on any file system of Spark's; an error if there is none."""
+    fs, p = _fs(spark, pattern)
+    found = sorted(x.getPath().toString() for x in (fs.globStatus(p) or []))
     if not found:
         raise FileNotFoundError(pattern)
-    return scan_csv(spark, found, schema)
+    return scan_csv(spark, found, schema, multi_line=multi_line)
 
 
 def query_file(spark: SparkSession, path: str, sql: str, name: str = "file") -> DataFrame:

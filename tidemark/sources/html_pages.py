@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.session import ship
+
 DETAIL = (
     "cage_business_name string, cage_code string, cage_update_date string, is_highest boolean, immediate_level_owner boolean, "
     "highest_level_owner_name string, highest_level_cage_code string, highest_level_cage_update_date string"
@@ -124,6 +126,7 @@ def read_details(html: str | None) -> dict | None:
 
 def parse_details(html: Column) -> Column:
     """Struct of ``DETAIL``; null for null, empty fields for a page without them."""
+    ship()
 
     @F.pandas_udf(DETAIL)
     def parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.materialize import stored
 from tidemark.operators.state import insert_ignore
 from tidemark.sources.tables import Warehouse
 
@@ -22,12 +23,13 @@ def append_new_keys(
 ) -> StreamingQuery:
     """Run a stream to its end into a table that keeps the first row of each key.
 
-    A repeated batch adds nothing, so a restart after a failure gives the same table.
+    Only the rows that a batch adds are written. A repeated batch adds nothing, so a restart
+    after a failure gives the same table.
     """
 
     def batch(df: DataFrame, _: int) -> None:
         rows = prepare(df)
         have = warehouse.read(name) if warehouse.exists(name) else rows.sparkSession.createDataFrame([], rows.schema)
-        warehouse.save(insert_ignore(have, rows, keys, first)[0], name)
+        warehouse.append(stored(insert_ignore(have, rows, keys, first)[1], "added-rows"), name)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
