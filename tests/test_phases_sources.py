@@ -206,3 +206,12 @@ def test_all_phases_give_the_columns_of_the_contract(spark, small):
     kinds = dict(out.dtypes)
     assert kinds["theme_llm"] == kinds["ticker"] == "string" and kinds["is_public"] == "boolean" and kinds["market_cap"] == "double"
     assert spark.range(1).select(*[phases.sole_source(F.lit(v).cast("double")) for v in (1.0, 2.0, 0.0, None)]).first() == (True, False, None, None)
+
+
+def test_composed_report(spark, small):
+    from tidemark.plans import analytics_queries, reports
+
+    page, text = reports.compose("R", [reports.VALIDATION[0], ("All", analytics_queries.ic_overall)], spark, small, ["<svg/>"])
+    assert "## Signal coverage" in text and "moat_index" in page and "| p |" in text and page.endswith("<svg/>")
+    names = [n for n, _ in (*reports.VALIDATION, *reports.BACKTEST)]
+    assert len(names) == len(set(names)) == 20

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.session import ship
+
 BANDS = 64
 
 
@@ -119,6 +121,8 @@ def p_value(ic: Column, n: Column) -> Column:
     The regularised incomplete beta function of half the degrees of freedom, by its
     continued fraction.
     """
+    ship()
+
     def beta(a: float, b: float, x: float) -> float:
         if x <= 0 or x >= 1:
             return 0.0 if x <= 0 else 1.0
