@@ -111,9 +111,11 @@ def parse_records(
         F.when(F.col("__tm_body").isNull() | (F.col("__tm_body") == ""), F.lit(COLUMN_COUNT))
         .when(~quoting_ok(F.col("__tm_body")), F.lit(QUOTING)).when(field_count(F.col("__tm_body")) != n, F.lit(COLUMN_COUNT))
     )
-    df = df.withColumn("__tm_shape", shape)
+    # generators keep what is costly below them from being evaluated again in filters and columns above
+    once = lambda d, c, name: d.select("*", F.inline(F.array(F.struct(c.alias(name)))))
+    df = once(df, shape, "__tm_shape")
     # only records of the right shape are parsed, so the parser's buffers need no more columns than the schema has
-    df = df.withColumn("__tm_text", F.from_csv(F.when(F.col("__tm_shape").isNull(), F.col("__tm_body")), text_schema, options))
+    df = once(df, F.from_csv(F.when(F.col("__tm_shape").isNull(), F.col("__tm_body")), text_schema, options), "__tm_text")
     field = {f.name: F.col(f"__tm_text.{x}") for f, x in zip(schema, names, strict=True)}
     bad_value = F.lit(False)
     for name, usable in checks.items():
