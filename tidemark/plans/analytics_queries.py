@@ -346,10 +346,10 @@ def component_correlations(spark: SparkSession, d: str) -> DataFrame:
 
 
 # two-sided p of a rank correlation: the share of the null density (1 - x^2)^((n - 4) / 2) beyond it, by midpoints
-_DENSE = "SELECT k + 0.5 AS k FROM (SELECT unnest(generate_series(0, 19999)) AS k)"
+_DENSE = "SELECT k + 0.5 AS k FROM (SELECT unnest(generate_series(0, 199999)) AS k)"
 _P_VALUE = (
     f"{_ic('', 'signal, horizon')}".replace("SELECT * FROM ics WHERE n >= 3 ", "")
-    + f", grid AS ({_DENSE}), mass AS (SELECT signal, horizon, n, ic, (1 - abs(ic)) * sum(pow(1 - pow(abs(ic) + (1 - abs(ic)) * k / 20000, 2), (n - 4) / 2.0)) / sum(pow(1 - pow(k / 20000, 2), (n - 4) / 2.0)) AS p FROM ics, grid GROUP BY signal, horizon, n, ic) "
+    + f", grid AS ({_DENSE}), mass AS (SELECT signal, horizon, n, ic, (1 - abs(ic)) * sum(pow(1 - pow(abs(ic) + (1 - abs(ic)) * k / 200000, 2), (n - 4) / 2.0)) / sum(pow(1 - pow(k / 200000, 2), (n - 4) / 2.0)) AS p FROM ics, grid GROUP BY signal, horizon, n, ic) "
     "SELECT signal, horizon, n, ic, round(p, 6) + 0.0 AS p FROM mass"
 )
 
