@@ -336,12 +336,12 @@ def latest_per_key(spark: SparkSession, d: str) -> DataFrame:
 # keyed state
 
 
-@query("""WITH b AS (SELECT o_custkey + 50 AS c_custkey, max(o_totalprice) AS c_acctbal FROM orders GROUP BY 1)
+@query("""WITH b AS (SELECT o_custkey AS c_custkey, max(o_totalprice) AS c_acctbal FROM orders WHERE o_orderstatus = 'P' GROUP BY 1)
 SELECT coalesce(c.c_custkey, b.c_custkey) AS c_custkey, CASE WHEN b.c_custkey IS NOT NULL THEN b.c_acctbal ELSE c.c_acctbal END AS c_acctbal, c_mktsegment FROM customer c FULL JOIN b ON c.c_custkey = b.c_custkey""")
 def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Balances from orders whose keys are moved by fifty, so that some customers are new and some get nothing."""
+    """All customers; the batch is what the orders in progress say of their balance."""
     old = table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
-    batch = table(spark, d, "orders").select((F.col("o_custkey") + 50).alias("c_custkey"), F.col("o_totalprice").alias("c_acctbal"))
+    batch = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("c_acctbal"))
     return state.upsert(old, batch, ["c_custkey"], ["c_acctbal"])
 
 
