@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.materialize import stored
 from tidemark.operators.quantiles import quantiles
 
 GROUP = ["source", "field"]
@@ -102,7 +103,8 @@ def tail_cutoffs(readings: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """
     p = 1 - rules.tail
     m = _measured(readings).select(*GROUP, _season(), F.log10("mag").alias("lg"))
-    season = quantiles(m, [*GROUP, "month"], "lg", [0.5], "_c").select(*GROUP, "month", F.col("_c")[0].alias("centre"))
+    # a row per cell, stored because three joins read it: its two passes over the readings would run for each
+    season = stored(quantiles(m, [*GROUP, "month"], "lg", [0.5], "_c").select(*GROUP, "month", F.col("_c")[0].alias("centre")), "season-medians")
     res = m.join(season, [*GROUP, "month"]).select(*GROUP, (F.col("lg") - F.col("centre")).alias("r"))
     q = quantiles(res, GROUP, "r", [p / 4, p / 2, p, 1 - p, 1 - p / 2, 1 - p / 4], "_q")
     at = lambda i: F.col("_q")[i]
