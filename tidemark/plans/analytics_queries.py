@@ -201,7 +201,7 @@ def ic_by_year(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ALL = {h: f"excess_return_{h}d" for h in t.HORIZONS}
-_SUMMED = [*SIGNALS, "obligation_ratio", "acv_alpha_ratio"]
+_SUMMED = [*t.MEASURES]
 _SUMMARY = (
     f"WITH {q.VALIDATED}, {q.ic(q.cells('validated', '', _SUMMED, _ALL), 'signal, horizon')}, m AS (SELECT *, signal || ' ' || horizon AS cell FROM cells), {q.qcut('m', 'x', 'cell')}, "
     "b AS (SELECT signal, horizon, bucket, avg(y) AS mean FROM cut WHERE bucket IS NOT NULL GROUP BY ALL), "
@@ -211,9 +211,7 @@ _SUMMARY = (
 
 
 def _summary(spark: SparkSession, d: str) -> DataFrame:
-    v = t.validated(spark, d)
-    spread = portfolio.top_minus_bottom(portfolio.bucket_returns(ic.long_form(v, [], _SUMMED, _ALL), ["signal", "horizon"], "x", "y"), ["signal", "horizon"])
-    return rounded(ic.ic_table(v, None, _SUMMED, _ALL).join(spread, ["signal", "horizon"], "left"), "ic", "top_minus_bottom")
+    return rounded(ic.summary(t.measured(spark, d), _SUMMED, _ALL), "ic", "top_minus_bottom")
 
 
 @query(f"{_SUMMARY} SELECT * FROM summary")

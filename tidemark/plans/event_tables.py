@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.materialize import stored
 from tidemark.operators import bars
+from tidemark.operators.asof import asof_join
 from tidemark.plans import phases
 from tidemark.session import table
 
@@ -75,3 +76,35 @@ def validated(spark: SparkSession, d: str) -> DataFrame:
         return phases.validate(listed, daily, HORIZONS, tickers[0], industry)
 
     return kept(spark, d, "validated", build)
+
+
+#: Measures that are compared with market-excess returns, and the transaction columns that ``phases.ratio_signals`` reads.
+MEASURES = ("alpha_ratio", "moat_index", "ceiling_change_pct_of_mcap", "relative_ceiling_change", "obligation_ratio", "acv_alpha_ratio")
+_READ = (
+    KEY, "award_id_piid", "action_date", "period_of_performance_start_date", "period_of_performance_current_end_date", "transaction_type", "number_of_offers_received",
+    "federal_action_obligation", "total_dollars_obligated", "current_total_value_of_award", "potential_total_value_of_award",
+)
+
+
+def measured(spark: SparkSession, d: str) -> DataFrame:
+    """``MEASURES`` and the market-excess returns of all rows of ``validated``, without its other columns.
+
+    Neither texts nor tags nor industry benchmarks are carried; the excess is taken once per bar and not once per event.
+    """
+
+    def build() -> DataFrame:
+        # stored, since history is read twice
+        rows = stored(bars.latest(table(spark, d, "raw_filtered_awards"), [KEY], ["ingested_at"]).select(*_READ), "transaction-values")
+        listed = enriched(spark, d).where(F.col("ticker").isNotNull() & F.col("market_cap").isNotNull()).select(KEY, "ticker", "market_cap")
+        events = phases.ratio_signals(phases.full_history_lag(rows).join(listed, KEY)).select("ticker", "action_date", *MEASURES)
+        daily = daily_bars(spark, d)
+        rets = bars.forward_returns(daily, HORIZONS)
+        dates = rows.select(F.col("action_date").cast("date").alias("d")).unionByName(daily.select(F.col("date").cast("date").alias("d")))
+        span = tuple(dates.agg(F.min("d"), F.max("d")).first())
+        span = span if span[0] else None
+        market = bars.attach_returns(rets.withColumn("_market", F.lit(benchmarks(daily)[0])), rets, HORIZONS, "_market", "date", "benchmark_", "_d1", span)
+        excess = {f"excess_return_{h}d": F.col(f"return_{h}d") - F.col(f"benchmark_return_{h}d") for h in HORIZONS}
+        side = market.select("ticker", "date", *[c.alias(k) for k, c in excess.items()])
+        return asof_join(events, side, "ticker", "action_date", "date", [*excess], "forward", span=span).select(*MEASURES, *excess)
+
+    return kept(spark, d, "measured", build)
