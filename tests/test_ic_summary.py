@@ -68,3 +68,7 @@ def names(spark, small, query):
 
 def test_decision_criteria_builds_no_wide_table(spark, small):
     assert names(spark, small, a.decision_criteria) == {"measured"}
+
+
+def test_ic_summary_matrix_builds_no_wide_table(spark, small):
+    assert names(spark, small, a.ic_summary_matrix) == {"measured"}
