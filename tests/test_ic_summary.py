@@ -72,3 +72,23 @@ def test_decision_criteria_builds_no_wide_table(spark, small):
 
 def test_ic_summary_matrix_builds_no_wide_table(spark, small):
     assert names(spark, small, a.ic_summary_matrix) == {"measured"}
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_summary_is_planned_in_small_parts(spark):
+    """Adaptive execution plans all of a query again after each stage: one query of everything filled the driver's memory."""
+    last = plan(ic.summary(spark.createDataFrame(make(60), DDL), SIGNALS, RETURNS))
+    assert "percentile_approx" not in last  # cut points are taken once, not in each place that reads them
+    assert last.count("Exchange") <= 10
+
+
+def test_measured_is_planned_in_small_parts(spark, small, monkeypatch):
+    seen, stored = {}, t.stored
+    monkeypatch.setattr(t, "stored", lambda df, name: seen.update({name: plan(df)}) or stored(df, name))
+    monkeypatch.setattr(t, "_kept", {})
+    t.measured(spark, small)
+    assert {"transaction-values", "excess-returns", "measured"} <= seen.keys()
+    assert "lead(close_adj" in seen["excess-returns"] and "lead(close_adj" not in seen["measured"]  # returns of bars are in a table of their own

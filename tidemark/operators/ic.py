@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.materialize import stored
 from tidemark.operators.ranks import BANDS, spearman
 
 
@@ -36,6 +37,8 @@ def summary(df: DataFrame, signals: Sequence[str], returns: Mapping[int, str], n
     A row is exploded over signals only and carries its returns. The values of a signal are counted for all
     horizons at once; their running counts, within value bands, give ranks and exact quantiles. The ranks of
     the returns come from the sums of the signal's ranks at each return, so no row is joined a second time.
+    Cut points, ranks, edges of buckets and counts of bands are stored: each is computed once, and the driver
+    plans a few small queries, since adaptive execution plans all of a query again after each of its stages.
     """
     hs = [*returns]
     js, one, ends = range(len(hs)), Window.unboundedPreceding, ["s", "j"]
@@ -43,7 +46,7 @@ def summary(df: DataFrame, signals: Sequence[str], returns: Mapping[int, str], n
     xs, ys = [f"x{i}" for i in range(len(signals))], [f"y{j}" for j in js]
     wide = df.select(*[value(c, n) for c, n in zip(signals, xs, strict=True)], *[value(c, n) for c, n in zip(returns.values(), ys, strict=True)])
     # cut points of values, by signal and by horizon; any would do
-    edges = wide.agg(*[F.percentile_approx(c, [i / BANDS for i in range(1, BANDS)], 1000).alias(c) for c in [*xs, *ys]])
+    edges = stored(wide.agg(*[F.percentile_approx(c, [i / BANDS for i in range(1, BANDS)], 1000).alias(c) for c in [*xs, *ys]]), "cut-points")
 
     def banded(d: DataFrame, key: str, cols: list[str], v: str) -> DataFrame:
         """With ``b``, how many of the ordered cut points lie under ``v``, by halving; BANDS is a power of two."""
@@ -62,7 +65,7 @@ def summary(df: DataFrame, signals: Sequence[str], returns: Mapping[int, str], n
     totals = totals.select("s", "b", *[F.coalesce(F.sum(f"t{j}").over(lower), F.lit(0)).alias(f"l{j}") for j in js], *[F.sum(f"t{j}").over(whole).alias(f"n{j}") for j in js])
     within = Window.partitionBy("s", "b").orderBy("x").rowsBetween(one, 0)
     ranked = counts.withColumns({f"m{j}": F.sum(f"c{j}").over(within) for j in js}).join(F.broadcast(totals), ["s", "b"])  # BANDS rows per signal
-    ranked = ranked.withColumns({f"m{j}": F.col(f"l{j}") + F.col(f"m{j}") for j in js})
+    ranked = stored(ranked.select("s", "x", *[F.col(f"c{j}") for j in js], *[(F.col(f"l{j}") + F.col(f"m{j}")).alias(f"m{j}") for j in js], *[F.col(f"n{j}") for j in js]), "signal-ranks")
 
     # the inner edges of the outer buckets, from the values at the wanted places
     n, below, upto = F.col("n"), F.col("m") - F.col("c"), F.col("m")
@@ -78,7 +81,7 @@ def summary(df: DataFrame, signals: Sequence[str], returns: Mapping[int, str], n
     picked = few.repartition(*ends).groupBy(*ends).agg(F.max("n").alias("n"), *[a.alias(f"{k}{i}") for i, r in enumerate(place) for k, a in (("a", at(F.floor(r))), ("z", at(F.ceil(r))))])
     quantile = F.array_distinct(F.array(*[F.col(f"a{i}") + (F.col(f"z{i}") - F.col(f"a{i}")) * (r - F.floor(r)) for i, r in enumerate(place)]))
     inner = picked.select(*ends, quantile.alias("e")).where(F.size("e") >= 3).select(*ends, F.col("e")[1].alias("lo"), F.element_at("e", -2).alias("hi"))
-    inner = inner.groupBy("s").agg(*[F.max(F.when(F.col("j") == j, F.col(k))).alias(f"{k}{j}") for j in js for k in ("lo", "hi")])
+    inner = stored(inner.groupBy("s").agg(*[F.max(F.when(F.col("j") == j, F.col(k))).alias(f"{k}{j}") for j in js for k in ("lo", "hi")]), "bucket-edges")
 
     # sums at each return, then the ranks of returns
     centred = [(F.col(f"m{j}") - (F.col(f"c{j}") - 1) / 2.0 - (F.col(f"n{j}") + 1) / 2.0).alias(f"d{j}") for j in js]
@@ -92,6 +95,7 @@ def summary(df: DataFrame, signals: Sequence[str], returns: Mapping[int, str], n
     totals = totals.select("j", "b", F.posexplode(F.array(*xs)).alias("s", "t"))
     lower, whole = Window.partitionBy(*ends).orderBy("b").rowsBetween(one, -1), Window.partitionBy(*ends)
     totals = totals.select(*ends, "b", F.coalesce(F.sum("t").over(lower), F.lit(0)).alias("l"), F.sum("t").over(whole).alias("n"))
+    totals = stored(totals, "band-counts")
     within = Window.partitionBy(*ends, "b").orderBy("y").rowsBetween(one, 0)
     both = banded(sums, "j", ys, "y").withColumn("m", F.sum("c").over(within)).join(F.broadcast(totals), [*ends, "b"])  # BANDS rows per signal and horizon
     both = both.withColumn("e", F.col("l") + F.col("m") - (F.col("c") - 1) / 2.0 - (n + 1) / 2.0)

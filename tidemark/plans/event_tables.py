@@ -104,7 +104,8 @@ def measured(spark: SparkSession, d: str) -> DataFrame:
         span = span if span[0] else None
         market = bars.attach_returns(rets.withColumn("_market", F.lit(benchmarks(daily)[0])), rets, HORIZONS, "_market", "date", "benchmark_", "_d1", span)
         excess = {f"excess_return_{h}d": F.col(f"return_{h}d") - F.col(f"benchmark_return_{h}d") for h in HORIZONS}
-        side = market.select("ticker", "date", *[c.alias(k) for k, c in excess.items()])
+        # stored, so that the driver plans two queries of half the size
+        side = stored(market.select("ticker", "date", *[c.alias(k) for k, c in excess.items()]), "excess-returns")
         return asof_join(events, side, "ticker", "action_date", "date", [*excess], "forward", span=span).select(*MEASURES, *excess)
 
     return kept(spark, d, "measured", build)
